@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_tracks"]
+MODULES = ["q_tracks", "q_evidence"]
 
 
 def all_queries():

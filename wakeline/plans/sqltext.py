@@ -141,3 +141,78 @@ cte("inwin", f"""
          min(i.reach_km) AS reach_km
   FROM win i JOIN track t ON t.t_h BETWEEN i.p0 AND i.p1 GROUP BY 1, 2""", "win", "track")
 cte("pair", "SELECT incident_id, mmsi, n_in, min_km FROM inwin WHERE min_km <= reach_km", "inwin")
+
+# -- evidence ---------------------------------------------------------------------------------------------------------
+cte("span", """SELECT mmsi, min(t_h) AS f_h, max(t_h) AS l_h, arg_min(lat, t_h) AS f_lat, arg_min(lon, t_h) AS f_lon,
+  arg_max(lat, t_h) AS l_lat, arg_max(lon, t_h) AS l_lon, arg_max(sog, t_h) AS l_sog, arg_max(cog, t_h) AS l_cog
+  FROM track GROUP BY mmsi""", "track")
+cte("pl", """SELECT p.incident_id, p.mmsi, i.* EXCLUDE (incident_id), t.* EXCLUDE (mmsi), t.t_h BETWEEN i.p0 AND i.p1 AS a_in,
+  t.t2 BETWEEN i.p0 AND i.p1 AS b_in
+  FROM pair p JOIN win i USING (incident_id) JOIN track t USING (mmsi)
+  WHERE t.t2 IS NOT NULL AND (t.t_h BETWEEN i.p0 AND i.p1 OR t.t2 BETWEEN i.p0 AND i.p1)""", "pair", "win", "track")
+cte("cpa0", f"""SELECT incident_id, mmsi, t_us, t_h, t2, origin_lat, origin_lon,
+  (lon - origin_lon) * {m_lon('origin_lat')} AS ax, (lat - origin_lat) * {m_lat('origin_lat')} AS ay,
+  (lon2 - origin_lon) * {m_lon('origin_lat')} AS bx, (lat2 - origin_lat) * {m_lat('origin_lat')} AS by_ FROM pl""", "pl")
+cte("cpa1", f"""SELECT *, CASE WHEN pow(bx - ax, 2) + pow(by_ - ay, 2) < 1e-9 THEN 0.0 ELSE
+  {clip('-(ax * (bx - ax) + ay * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2))')} END AS s FROM cpa0""", "cpa0")
+cte("cpa", f"""SELECT incident_id, mmsi, sqrt(pow(ax + s * (bx - ax), 2) + pow(ay + s * (by_ - ay), 2)) / 1000.0 AS cpa_km,
+  t_h + s * (t2 - t_h) AS cpa_time_h, origin_lat + (ay + s * (by_ - ay)) / {m_lat('origin_lat')} AS cpa_lat,
+  origin_lon + (ax + s * (bx - ax)) / {m_lon('origin_lat')} AS cpa_lon, origin_lat, origin_lon FROM cpa1
+  QUALIFY row_number() OVER (PARTITION BY incident_id, mmsi ORDER BY cpa_km, t_us) = 1""", "cpa1")
+cte("inw", f"""SELECT p.incident_id, p.mmsi, t.t_h, t.lat, t.lon, i.origin_lat, i.origin_lon, i.centroid_lat, i.centroid_lon,
+  {km('t.lat', 't.lon', 'i.origin_lat', 'i.origin_lon')} <= 25.0 AS near,
+  lead(t.t_h) OVER w AS n_h, lead({km('t.lat', 't.lon', 'i.origin_lat', 'i.origin_lon')} <= 25.0) OVER w AS n_near
+  FROM pair p JOIN win i USING (incident_id) JOIN track t ON t.mmsi = p.mmsi AND t.t_h BETWEEN i.p0 AND i.p1
+  WINDOW w AS (PARTITION BY p.incident_id, p.mmsi ORDER BY t.t_h)""", "pair", "win", "track")
+cte("dwell", f"""SELECT incident_id, mmsi, count(*) AS n, CASE WHEN count(*) > 1 AND max(t_h) > min(t_h) THEN
+  {clip('coalesce(sum(n_h - t_h) FILTER (near OR n_near), 0.0) / (max(t_h) - min(t_h))')} ELSE 0.0 END AS dwell,
+  CASE WHEN count(*) > 1 THEN coalesce(sum(n_h - t_h) FILTER (near OR n_near), 0.0) * 60 ELSE 0.0 END AS minutes_in_radius,
+  CASE WHEN count(*) > 1 THEN (max(t_h) - min(t_h)) * 60 ELSE 0.0 END AS observed_minutes FROM inw GROUP BY 1, 2""", "inw")
+cte("axis0", f"""SELECT incident_id, mmsi, {bearing('any_value(origin_lat)', 'any_value(origin_lon)', 'any_value(centroid_lat)', 'any_value(centroid_lon)')} AS axis_deg,
+  CASE WHEN count(*) > 1 THEN {bearing('arg_min(lat, t_h)', 'arg_min(lon, t_h)', 'arg_max(lat, t_h)', 'arg_max(lon, t_h)')} END AS course_deg,
+  {km('avg(lat)', 'avg(lon)', 'any_value(centroid_lat)', 'any_value(centroid_lon)')} AS centroid_km FROM inw GROUP BY 1, 2""", "inw")
+cte("axis", f"""SELECT *, {axis_diff('course_deg', 'axis_deg')} AS axis_diff_deg,
+  CASE WHEN course_deg IS NULL OR axis_deg IS NULL THEN 0.0 ELSE {clip("1.0 - " + axis_diff('course_deg', 'axis_deg') + " / 55.0")} END AS axis_alignment
+  FROM axis0""", "axis0")
+cte("dark", """SELECT p.incident_id, p.mmsi, coalesce(max(greatest(0.0, least(round(g.end_h, 3), i.w1) - greatest(round(g.start_h, 3), i.w0))), 0.0) * 60 AS dark_min
+  FROM pair p JOIN incident i USING (incident_id) LEFT JOIN gap g USING (mmsi) GROUP BY 1, 2""", "pair", "incident", "gap")
+cte("st0", """SELECT p.incident_id, p.mmsi, g.i, greatest(CAST((i.p1 - i.p0) * 6 AS INTEGER) + 2, 8) AS n,
+  greatest(i.p0, s.f_h) AS a, least(i.p1, s.l_h) AS b, i.origin_lat, i.origin_lon, i.prior0, i.prior1
+  FROM pair p JOIN win i USING (incident_id) JOIN span s USING (mmsi),
+       LATERAL (SELECT unnest(range(greatest(CAST((i.p1 - i.p0) * 6 AS INTEGER) + 2, 8))) AS i) g""", "pair", "win", "span")
+cte("st1", """SELECT *, CASE WHEN i = n - 1 THEN b ELSE i * ((b - a) / (n - 1)) + a END AS t FROM st0""", "st0")
+cte("st2", f"""SELECT s.incident_id, s.mmsi, s.i, s.t, prior0, prior1, {km('x.lat + (s.t - x.t_h) / (coalesce(x.t2, x.t_h + 1) - x.t_h) * (coalesce(x.lat2, x.lat) - x.lat)', 'x.lon + (s.t - x.t_h) / (coalesce(x.t2, x.t_h + 1) - x.t_h) * (coalesce(x.lon2, x.lon) - x.lon)', 's.origin_lat', 's.origin_lon')} AS d
+  FROM st1 s JOIN track x ON x.mmsi = s.mmsi AND s.t >= x.t_h AND (s.t < x.t2 OR x.t2 IS NULL)""", "st1", "track")
+cte("st3", """SELECT *, exp(-0.5 * pow(d / 7.0, 2)) AS ov FROM st2""", "st2")
+cte("st4", """SELECT *, first_value(t) OVER w AS bt, first_value(d) OVER w AS bd, first_value(ov) OVER w AS bo FROM st3
+  WINDOW w AS (PARTITION BY incident_id, mmsi ORDER BY ov DESC, i)""", "st3")
+cte("stx", f"""SELECT incident_id, mmsi, any_value(bt) AS best_t, any_value(bd) AS best_km, any_value(bo) AS overlap, count(*) AS n_samples,
+  avg(ov) FILTER (abs(t - bt) <= 1.5) AS consist,
+  CASE WHEN any_value(bt) < any_value(prior0) - 8 OR any_value(bt) > any_value(prior1) + 8 THEN 0.8 ELSE 1.0 END AS prior,
+  {clip("(0.42 * exp(-0.5 * pow(any_value(bd) / 5.0, 2)) + 0.36 * least(any_value(bo), 1.0) + 0.22 * least(avg(ov) FILTER (abs(t - bt) <= 1.5), 1.0)) * CASE WHEN any_value(bt) < any_value(prior0) - 8 OR any_value(bt) > any_value(prior1) + 8 THEN 0.8 ELSE 1.0 END")} AS st
+  FROM st4 GROUP BY 1, 2""", "st4")
+cte("vtype", """SELECT mmsi, CASE WHEN v BETWEEN 80 AND 89 THEN 1.0 WHEN v BETWEEN 70 AND 79 THEN 0.72 WHEN v BETWEEN 60 AND 69 THEN 0.35
+  WHEN v BETWEEN 40 AND 49 THEN 0.25 WHEN v = 30 THEN 0.3 WHEN v IN (31, 32) OR v BETWEEN 50 AND 59 THEN 0.4
+  WHEN v BETWEEN 33 AND 35 THEN 0.2 WHEN v IN (36, 37) THEN 0.15 ELSE 0.3 END AS prior
+  FROM (SELECT mmsi, arg_max(vessel_type, t_us) AS v FROM track GROUP BY mmsi)""", "track")
+cte("evid", """SELECT c.incident_id, c.mmsi, st.st, ax.axis_alignment AS ax, ax.axis_deg IS NOT NULL AS ax_ok,
+  CASE WHEN c.cpa_km >= 25 THEN 0.0 ELSE greatest(0.0, 1.0 - sqrt(c.cpa_km / 25.0)) END AS pr, d.dwell AS dw,
+  least(dk.dark_min / 120.0, 1.0) AS bl, v.prior AS vp, c.cpa_km, st.best_t
+  FROM cpa c JOIN stx st USING (incident_id, mmsi) JOIN axis ax USING (incident_id, mmsi) JOIN dwell d USING (incident_id, mmsi)
+  JOIN dark dk USING (incident_id, mmsi) JOIN vtype v USING (mmsi)""", "cpa", "stx", "axis", "dwell", "dark", "vtype")
+
+cte("fused", """SELECT *, least(greatest(raw * gate, 0.0), 100.0) AS total FROM (
+  SELECT *, (0.3 * st + CASE WHEN ax_ok THEN 0.18 ELSE 0.0 END * ax + 0.14 * pr + 0.1 * dw + 0.1 * bl + 0.09 * vp) * 100.0
+         / (0.3 + CASE WHEN ax_ok THEN 0.18 ELSE 0.0 END + 0.14 + 0.1 + 0.1 + 0.09) AS raw,
+         (0.3 + CASE WHEN ax_ok THEN 0.18 ELSE 0.0 END + 0.14 + 0.1 + 0.1 + 0.09) AS den,
+         least(greatest(greatest(st, pr) / 0.12, 0.0), 1.0) AS gate FROM evid)""", "evid")
+
+cte("based", """SELECT *, least(greatest(raw * gate, 0.0), 100.0) AS total FROM (
+  SELECT *, (0.45 * st + CASE WHEN ax_ok THEN 0.3 ELSE 0.0 END * ax + 0.15 * pr + 0.1 * dw + 0.0 * bl + 0.0 * vp) * 100.0
+         / (0.45 + CASE WHEN ax_ok THEN 0.3 ELSE 0.0 END + 0.15 + 0.1 + 0.0 + 0.0) AS raw,
+         (0.45 + CASE WHEN ax_ok THEN 0.3 ELSE 0.0 END + 0.15 + 0.1 + 0.0 + 0.0) AS den,
+         least(greatest(greatest(st, pr) / 0.12, 0.0), 1.0) AS gate FROM evid)""", "evid")
+
+cte("ranked", """SELECT *, round(total, 2) AS score, row_number() OVER (PARTITION BY incident_id ORDER BY round(total, 2) DESC, mmsi) AS rank,
+  CASE WHEN total >= 70 THEN 'PRIME_SUSPECT' WHEN total >= 45 THEN 'PERSON_OF_INTEREST' WHEN total >= 20 THEN 'WEAK_LEAD'
+  WHEN total < 8 THEN 'CLEARED' ELSE 'BACKGROUND_TRAFFIC' END AS assessment FROM fused""", "fused")
