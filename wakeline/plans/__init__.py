@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_tracks", "q_evidence"]
+MODULES = ["q_tracks", "q_evidence", "q_records"]
 
 
 def all_queries():

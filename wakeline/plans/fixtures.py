@@ -89,3 +89,67 @@ def incidents(spark, sf) -> DataFrame:
         F.lit(None).cast("double").alias("axis_deg"),
         back.alias("prior_lo_h"), F.lit(-3.0).alias("prior_hi_h"),
         (F.lit(450.0) + F.lit(100.0) * (s % 20)).alias("width_m"), (F.lit(5.0) + s % 15).alias("area_km2"))
+
+
+# -- zones, cases, users, alerts --------------------------------------------------------------------------------------
+STUDY = [("STUDY-1", "Study area", "ZONE", None, (57.2, -21.0, 58.8, -19.8))]
+
+
+def zones(spark) -> DataFrame:
+    from wakeline.sources.zones import zone_catalogue
+    return zone_catalogue(spark, STUDY)
+
+
+def zone_edges(spark) -> DataFrame:
+    from wakeline.sources import zones as z
+    return z.zone_edges(z.polygons(zones(spark)))
+
+
+def cases(spark, sf) -> DataFrame:
+    """One case per order. Coordinates fall on tenths of a degree, so some lie exactly on zone borders."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    pri = F.substring("o_orderpriority", 1, 1).cast("int")
+    return load(spark, sf, "orders").select(
+        o.alias("id"), o.alias("case_id"), F.expr("o_custkey div 15").alias("incident_id"),
+        F.concat(F.lit("Case "), o).alias("title"),
+        F.when(F.col("o_orderstatus") == "O", "OPEN").when(F.col("o_orderstatus") == "P", "IN_PROGRESS").otherwise("RESOLVED").alias("status"),
+        F.when(pri <= 2, "Oil-like anomaly").when(pri <= 4, "Likely look-alike").otherwise("No significant anomaly").alias("label"),
+        F.when(o % 11 != 0, (F.floor(F.col("o_totalprice")) % 1000) / 1000).alias("confidence"),
+        F.when(o % 4 != 0, (50 + c * 7 % 200) / 10).alias("lat"), F.when(o % 4 != 0, (600 + c * 13 % 360) / 10).alias("lon"),
+        F.when(o % 3 == 0, (c % 16).cast("int")).alias("_z"), F.when(o % 3 == 1, (c % 14 + 1).cast("int")).alias("_c"),
+        c.alias("vessel_id"), (F.lit(450.0) + c % 20 * 100).alias("width_m"), (F.lit(5.0) + c % 15).alias("area_km2")
+    ).withColumn("jurisdiction_id", F.when(F.col("_z") > 0, F.col("_z"))).drop("_z")
+
+
+def coded_cases(spark, sf) -> DataFrame:
+    """Cases with a code list (padded, lower case) where they have no zone id."""
+    code = zones(spark).select(F.col("zone_id").alias("_c"), F.array(F.concat(F.lit(" "), F.lower("code"))).alias("codes"))
+    return cases(spark, sf).join(F.broadcast(code), "_c", "left").drop("_c")
+
+
+def users(spark, sf) -> DataFrame:
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    role = F.when(c % 10 == 0, "NATIONAL").when(c % 10 <= 3, "REGIONAL").otherwise("PILOT")
+    second = F.when(c % 3 == 0, F.array(((n * 5) % 14 + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    first = F.when(n % 15 > 0, F.array((n % 15).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return load(spark, sf, "customer").select(
+        c.alias("user_id"), role.alias("role"), (c % 7 != 0).alias("active"),
+        F.array_distinct(F.concat(first, second)).alias("zone_ids"))
+
+
+def alerts(spark, sf) -> DataFrame:
+    u, k = F.col("u"), F.col("k")
+    out = (F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "signup", "PENDING")
+           .when(F.col("event_type") == "purchase", "MOCKED").otherwise("SENT"))
+    return events(spark, sf).select(
+        F.col("event_id").alias("alert_id"), F.lit("anomaly").alias("kind"), "t_us",
+        (F.lit(5.0) + (u % 1500) * F.lit(0.05) + (k % 3 - 1) * F.lit(0.004)).alias("lat"),
+        (F.lit(60.0) + (k % 10) * F.lit(0.05) + F.floor(u / 1500) * F.lit(0.6)).alias("lon"),
+        out.alias("outcome"), (k == 7).alias("force"), F.col("event_type"), F.col("value"))
+
+
+def scope_closure(spark) -> DataFrame:
+    """Every zone as a scope of its own: (scope_id, zone_id)."""
+    from wakeline.operators.scope import closure
+    z = zones(spark)
+    return closure(z.select(F.col("zone_id").alias("scope_id"), "zone_id"), z)
