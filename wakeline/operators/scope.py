@@ -146,3 +146,34 @@ def lookup(keys: DataFrame, rows: DataFrame, seen: DataFrame, key: str = "id") -
 def page(rows: DataFrame, offset: int = 0, limit: int = 50, cap: int = 200, key: str = "id") -> DataFrame:
     """Newest first; the page size is a report limit (200, anomalies 500)."""
     return rows.orderBy(F.col(key).desc()).offset(offset).limit(min(limit, cap))
+
+
+def is_land(points: DataFrame, land_edges: DataFrame, *, buffer_km: float = 0.0, cell_deg: float = 1.0, key: str = "id") -> DataFrame:
+    """Add `on_land`: strictly inside a polygon, or within `buffer_km` / 111 degrees of its outline."""
+    b = buffer_km / 111.0
+    p = (points.select(key, "lat", "lon").withColumn("_cy", F.floor(F.col("lat") / cell_deg))
+         .withColumn("_cx", F.floor(F.col("lon") / cell_deg)))
+    lat, lon = F.col("lat"), F.col("lon")
+
+    def close(e):
+        dx, dy = e["lon2"] - e["lon1"], e["lat2"] - e["lat1"]
+        len2 = dx * dx + dy * dy
+        t = F.when(len2 > 0, ((lon - e["lon1"]) * dx + (lat - e["lat1"]) * dy) / F.when(len2 > 0, len2)).otherwise(0.0)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.hypot(lon - e["lon1"] - t * dx, lat - e["lat1"] - t * dy) < b
+    j = salted_join(p, edge_cells(land_edges, cell_deg, b), ["_cy", "_cx"])
+    hit = _inside(lat, lon, False)
+    if b > 0:
+        hit = hit | F.exists("edges", close)
+    on = j.filter(hit).select(key).distinct().withColumn("on_land", F.lit(True))
+    return points.join(on, key, "left").withColumn("on_land", F.coalesce("on_land", F.lit(False)))
+
+
+def is_land_raster(points: DataFrame, land_pixels: DataFrame, scenes: DataFrame, key: str = "id") -> DataFrame:
+    """Raster variant: the nearest pixel of the point's scene is a land cell (equi-join on the rounded index)."""
+    from wakeline.functions.geo import ll_to_pixel
+    c, r = ll_to_pixel("lat", "lon", "w", "s", "e", "n", "width", "height")
+    p = points.join(scenes.select("scene_id", "w", "s", "e", "n", "width", "height"), "scene_id").select(
+        key, "scene_id", F.rint(r).cast("int").alias("row"), F.rint(c).cast("int").alias("col"))
+    on = p.join(land_pixels.select("scene_id", "row", "col"), ["scene_id", "row", "col"], "left_semi").select(key).distinct()
+    return points.join(on.withColumn("on_land", F.lit(True)), key, "left").withColumn("on_land", F.coalesce("on_land", F.lit(False)))

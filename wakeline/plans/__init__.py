@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_tracks", "q_evidence", "q_records"]
+MODULES = ["q_tracks", "q_evidence", "q_records", "q_drift"]
 
 
 def all_queries():

@@ -97,12 +97,12 @@ STUDY = [("STUDY-1", "Study area", "ZONE", None, (57.2, -21.0, 58.8, -19.8))]
 
 def zones(spark) -> DataFrame:
     from wakeline.sources.zones import zone_catalogue
-    return zone_catalogue(spark, STUDY)
+    return memo("zones", spark, "", lambda: zone_catalogue(spark, STUDY))
 
 
 def zone_edges(spark) -> DataFrame:
     from wakeline.sources import zones as z
-    return z.zone_edges(z.polygons(zones(spark)))
+    return memo("edges", spark, "", lambda: z.zone_edges(z.polygons(zones(spark))))
 
 
 def cases(spark, sf) -> DataFrame:
@@ -152,4 +152,86 @@ def scope_closure(spark) -> DataFrame:
     """Every zone as a scope of its own: (scope_id, zone_id)."""
     from wakeline.operators.scope import closure
     z = zones(spark)
-    return closure(z.select(F.col("zone_id").alias("scope_id"), "zone_id"), z)
+    return memo("closure", spark, "", lambda: closure(z.select(F.col("zone_id").alias("scope_id"), "zone_id"), z))
+
+
+# -- drift ------------------------------------------------------------------------------------------------------------
+def drift_back(spark, sf) -> DataFrame:
+    """One particle per order, nine recorded steps over the last 12 hours."""
+    return memo("drift_back", spark, sf, lambda: _drift_back(spark, sf))
+
+
+def _particles(spark, sf) -> DataFrame:
+    o = load(spark, sf, "orders").select(F.expr("o_custkey div 15").alias("incident_id"), F.col("o_orderkey").alias("particle_id"))
+    return o.join(incidents(spark, sf).select("incident_id", "origin_lat", "origin_lon"), "incident_id")
+
+
+def _drift_back(spark, sf) -> DataFrame:
+    p, t = F.col("particle_id"), F.col("t_h")
+    d = _particles(spark, sf).withColumn("t_h", F.explode(F.array(*[F.lit(-12.0 + 1.5 * s) for s in range(9)])))
+    return d.select("incident_id", "particle_id", "t_h",
+                    (F.col("origin_lat") + (p % 9 - 4) * F.lit(4e-3) * t + (p % 11 - 5) * F.lit(1e-2)).alias("lat"),
+                    (F.col("origin_lon") + (p % 7 - 3) * F.lit(5e-3) * t + (p % 13 - 6) * F.lit(1e-2)).alias("lon"),
+                    F.lit(False).alias("beached"))
+
+
+def drift_forward(spark, sf) -> DataFrame:
+    """Seventeen steps over 48 hours; in three of four incidents every fifth particle strands and stays put."""
+    return memo("drift_fwd", spark, sf, lambda: _drift_forward(spark, sf))
+
+
+def _drift_forward(spark, sf) -> DataFrame:
+    p = F.col("particle_id")
+    ash = (p % 5 == 0) & (F.col("incident_id") % 4 != 0)
+    d = _particles(spark, sf).withColumn("t_h", F.explode(F.array(*[F.lit(3.0 * s) for s in range(17)])))
+    te = F.when(ash, F.least(F.col("t_h"), F.lit(12.0) + p % 3 * 6)).otherwise(F.col("t_h"))
+    return d.select("incident_id", "particle_id", "t_h",
+                    (F.col("origin_lat") + ((p % 9 - 4) * F.lit(3e-3) + F.lit(2e-2)) * te + (p % 11 - 5) * F.lit(1e-2)).alias("lat"),
+                    (F.col("origin_lon") + ((p % 7 - 3) * F.lit(2e-3) + F.lit(1e-2)) * te + (p % 13 - 6) * F.lit(1e-2)).alias("lon"),
+                    ash.alias("beached"))
+
+
+def fields(spark, sf) -> DataFrame:
+    """One 4 x 4 x 5 wind and current grid per supplier, linear in its indexes."""
+    return memo("fields", spark, sf, lambda: _fields(spark, sf))
+
+
+def _fields(spark, sf) -> DataFrame:
+    seq = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    d = (incidents(spark, sf).select(F.col("incident_id").alias("field_id"), "origin_lat", "origin_lon")
+         .withColumn("yi", seq(4)).withColumn("xi", seq(4)).withColumn("ti", seq(5)))
+    y, x, t = F.col("yi"), F.col("xi"), F.col("ti")
+    return d.select(
+        "field_id", "ti", "yi", "xi", (t * F.lit(24.0) - 48.0).alias("t_h"), (F.col("origin_lat") - 1.5 + y * F.lit(1.0)).alias("lat"),
+        (F.col("origin_lon") - 1.5 + x * F.lit(1.0)).alias("lon"),
+        (F.lit(4.0) + y * F.lit(0.5) - x * F.lit(0.3) + t * F.lit(0.2) + F.col("field_id") % 5 * F.lit(0.4)).alias("wu"),
+        (F.lit(-2.0) + y * F.lit(0.25) + x * F.lit(0.15) - t * F.lit(0.1)).alias("wv"),
+        (F.lit(0.1) + y * F.lit(0.02) + x * F.lit(0.03) + t * F.lit(0.01)).alias("cu"),
+        (F.lit(0.05) - y * F.lit(0.01) + x * F.lit(0.02) + t * F.lit(0.015)).alias("cv"))
+
+
+def drift_incidents(spark, sf) -> DataFrame:
+    """Incidents with an observed centroid and their own field."""
+    i = incidents(spark, sf)
+    return i.select("incident_id", F.coalesce("centroid_lat", "origin_lat").alias("centroid_lat"),
+                    F.coalesce("centroid_lon", "origin_lon").alias("centroid_lon"), "width_m", "area_km2",
+                    F.col("incident_id").alias("field_id"))
+
+
+def land_edges(spark) -> DataFrame:
+    """A coastal box and a triangle south of it."""
+    import json
+
+    from wakeline.sources import zones as z
+    shapes = [(1, [[73.4, 16.2], [75.0, 16.2], [75.0, 18.0], [73.4, 18.0], [73.4, 16.2]]),
+              (2, [[73.5, 12.0], [75.5, 12.0], [74.5, 14.0], [73.5, 12.0]])]
+    rows = [(i, json.dumps({"type": "Polygon", "coordinates": [r]})) for i, r in shapes]
+    return memo("land", spark, "", lambda: z.zone_edges(z.polygons(spark.createDataFrame(rows, "zone_id int, geometry string"))))
+
+
+def weather_input(spark, sf) -> DataFrame:
+    n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 6
+    oil = F.element_at(F.array(*[F.lit(o) for o in ("light_crude", "medium_crude", "heavy_crude", "diesel", "bunker", "unknown")]), n + 1)
+    return load(spark, sf, "part").select(
+        "p_partkey", (F.col("p_retailprice") / 50).alias("area_km2"), (F.lit(10.0) + F.col("p_size") % 25).alias("temp_c"), oil.alias("oil"),
+        (F.col("p_retailprice") * 1.5).alias("width_m"))

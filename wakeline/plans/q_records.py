@@ -84,9 +84,8 @@ def j6_codes_to_ids(spark, sf):
 
 
 @query("j7_u3_manageable_users", q("""
-  SELECT s.zone_id AS scope_id, u.user_id FROM usr u, zone s WHERE u.role = 'PILOT' AND len(u.zs) > 0
-  AND len(list_filter(u.zs, lambda z: NOT list_contains((SELECT list(zone_id) FROM down d WHERE d.scope_id = s.zone_id), z))) = 0""",
-                                  "usr", "zone", "down"))
+  SELECT d.scope_id, u.user_id FROM (SELECT user_id, len(zs) AS n, unnest(zs) AS zone_id FROM usr WHERE role = 'PILOT') u JOIN down d USING (zone_id)
+  GROUP BY d.scope_id, u.user_id HAVING count(*) = max(u.n)""", "usr", "down"))
 def j7_u3_manageable_users(spark, sf):
     return sc.manageable(fx.users(spark, sf), fx.scope_closure(spark))
 
