@@ -1,0 +1,128 @@
+"""Numpy helpers that run inside tasks on one bounded block; no Spark objects here."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+DEG = np.pi / 180.0
+EARTH_M = 6_371_008.8
+KN_PER_MS = 1.0 / 0.514444
+
+
+def haversine_m(lat1, lon1, lat2, lon2):
+    s1, s2 = np.sin((lat2 - lat1) * DEG / 2), np.sin((lon2 - lon1) * DEG / 2)
+    a = s1 * s1 + np.cos(lat1 * DEG) * np.cos(lat2 * DEG) * s2 * s2
+    return 2 * EARTH_M * np.arcsin(np.sqrt(np.clip(a, 0.0, 1.0)))
+
+
+def walk(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, last, max_kn: float) -> np.ndarray:
+    """Kept flags of one time-ordered block, entered with `last` = (t_h, lat, lon) or None.
+
+    Runs of plausible neighbours are kept at once; only after an implausible hop are later fixes compared with the last
+    kept one, in growing batches."""
+    def fast(t0, a0, o0, t1, a1, o1):
+        dt = (t1 - t0) * 3600.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return ~((dt > 0) & (haversine_m(a0, o0, a1, o1) / dt * KN_PER_MS <= max_kn))
+    n = len(t)
+    keep = np.zeros(n, bool)
+    bad = np.flatnonzero(fast(t[:-1], lat[:-1], lon[:-1], t[1:], lat[1:], lon[1:])) + 1 if n > 1 else np.empty(0, int)
+    i = 0 if last is None else -1                     # index of the last kept fix; -1 = the entry
+    if i == 0:
+        keep[0] = True
+    j = i + 1
+    while j < n:
+        if i >= 0 and j == i + 1:
+            k = np.searchsorted(bad, j)
+            stop = bad[k] if k < len(bad) else n
+            keep[j:stop] = True
+            i, j = stop - 1, stop
+            if stop == n:
+                break
+            j = stop + 1                              # the fix at `stop` is implausible from its neighbour
+        ref = last if i < 0 else (t[i], lat[i], lon[i])
+        size, found = 16, -1
+        while j < n and found < 0:
+            e = min(j + size, n)
+            good = np.flatnonzero(~fast(*ref, t[j:e], lat[j:e], lon[j:e]))
+            if good.size:
+                found = j + int(good[0])
+            else:
+                j, size = e, size * 2
+        if found < 0:
+            break
+        keep[found] = True
+        i, j = found, found + 1
+    return keep
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: keyed noise without a generator state."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def keyed_normals(incident: int, particles: np.ndarray, step: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        key = particles.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((incident * 1_000_003 + seed) % (1 << 63))
+        h = _mix(_mix(key) + np.uint64(step + 1) * np.uint64(0xD1B54A32D192ED03))
+        u1 = ((_mix(h + np.uint64(1)) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+        u2 = ((_mix(h + np.uint64(2)) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+    r = np.sqrt(-2.0 * np.log(u1))
+    return r * np.cos(2 * np.pi * u2), r * np.sin(2 * np.pi * u2)
+
+
+class GridField:
+    """Dense slice of one incident's wind/current grid inside a task: blend two time planes, then bilinear."""
+
+    def __init__(self, c: pd.DataFrame):
+        self.t, self.y, self.x = (np.unique(c[k].to_numpy()) for k in ("t_h", "lat", "lon"))
+        self.g = np.zeros((len(self.t), len(self.y) * len(self.x), 4))
+        self.g[c.ti.to_numpy(int), c.yi.to_numpy(int) * len(self.x) + c.xi.to_numpy(int)] = c[["wu", "wv", "cu", "cv"]].to_numpy()
+        self._at, self._plane = None, None
+
+    @staticmethod
+    def _index(a, v):
+        f = np.clip((v - a[0]) / max(a[-1] - a[0], 1e-9), 0, 1) * (len(a) - 1)
+        i = np.minimum(f.astype(int), max(len(a) - 2, 0))
+        return i, f - i, 1 if len(a) > 1 else 0
+
+    def at(self, t, lat, lon):
+        if t != self._at:
+            k, w, up = self._index(self.t, np.float64(t))
+            self._at, self._plane = t, self.g[k] * (1 - w) + self.g[k + up] * w
+        iy, wy, uy = self._index(self.y, lat)
+        ix, wx, ux = self._index(self.x, lon)
+        base, row = iy * len(self.x) + ix, uy * len(self.x)
+        p, wx, wy = self._plane, wx[:, None], wy[:, None]
+        out = (p[base] * (1 - wx) + p[base + ux] * wx) * (1 - wy) + (p[base + row] * (1 - wx) + p[base + row + ux] * wx) * wy
+        return out.T
+
+
+def ashore(e: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Even-odd test against edge rows (part, lon1, lat1, lon2, lat2); a point counts if any part contains it."""
+    out = np.zeros(lat.shape, bool)
+    for part in np.unique(e[:, 0]):
+        _, x1, y1, x2, y2 = e[e[:, 0] == part].T[:, :, None]
+        span = (y1 > lat) != (y2 > lat)
+        if span.any():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out |= (span & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)).sum(axis=0) % 2 == 1
+    return out
+
+
+def convex_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Monotone-chain hull, counter-clockwise vertex indices."""
+    o = np.lexsort((y, x))
+
+    def chain(ix):
+        st = []
+        for i in ix:
+            while len(st) > 1 and (x[st[-1]] - x[st[-2]]) * (y[i] - y[st[-2]]) - (y[st[-1]] - y[st[-2]]) * (x[i] - x[st[-2]]) <= 0:
+                st.pop()
+            st.append(i)
+        return st
+    lo, up = chain(o), chain(o[::-1])
+    return np.array(lo[:-1] + up[:-1]) if len(lo) > 1 else np.array(lo)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wakeline import config as C
 from wakeline.functions import geo
+from wakeline.functions.kernels import GridField, ashore, convex_hull, keyed_normals
 from wakeline.functions.weathering import release_window
 from wakeline.operators.slices import exact_quantiles, sliced
 from wakeline.operators.tracks import decimate
@@ -101,63 +102,8 @@ def seed_mask(pixels: DataFrame, scenes: DataFrame, n: int = C.N_PARTICLES, seed
 _POS = "incident_id long, particle_id long, t_h double, lat double, lon double, beached boolean"
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    """64-bit finaliser: keyed noise without a generator state."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _noise(incident: int, particles: np.ndarray, step: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        key = particles.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((incident * 1_000_003 + seed) % (1 << 63))
-        h = _mix(_mix(key) + np.uint64(step + 1) * np.uint64(0xD1B54A32D192ED03))
-        u1 = ((_mix(h + np.uint64(1)) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
-        u2 = ((_mix(h + np.uint64(2)) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
-    r = np.sqrt(-2.0 * np.log(u1))
-    return r * np.cos(2 * np.pi * u2), r * np.sin(2 * np.pi * u2)
-
-
-class _Field:
-    """Dense slice of one incident's wind/current grid inside a task."""
-
-    def __init__(self, c: pd.DataFrame):
-        self.ax = [np.unique(c[k].to_numpy()) for k in ("t_h", "lat", "lon")]
-        shape = tuple(len(a) for a in self.ax)
-        self.g = np.zeros((4, *shape))
-        at = (c.ti.to_numpy(int), c.yi.to_numpy(int), c.xi.to_numpy(int))
-        for i, k in enumerate(("wu", "wv", "cu", "cv")):
-            self.g[i][at] = c[k].to_numpy()
-
-    def at(self, t, lat, lon):
-        lo, wt = [], []
-        for a, v in zip(self.ax, (np.full(lat.shape, t), lat, lon)):
-            f = np.clip((v - a[0]) / max(a[-1] - a[0], 1e-9), 0, 1) * (len(a) - 1)
-            i = np.minimum(np.floor(f).astype(int), max(len(a) - 2, 0))
-            lo.append(i)
-            wt.append(f - i)
-        out = 0.0
-        for corner in range(8):
-            bit = [(corner >> 2) & 1, (corner >> 1) & 1, corner & 1]
-            ix = [np.minimum(i + b, len(a) - 1) for i, b, a in zip(lo, bit, self.ax)]
-            w = np.prod([x if b else 1 - x for x, b in zip(wt, bit)], axis=0)
-            out = out + self.g[:, ix[0], ix[1], ix[2]] * w
-        return out
-
-
-def _ashore(e: pd.DataFrame, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    out = np.zeros(lat.shape, bool)
-    for _, part in e.groupby("ti"):
-        odd = np.zeros(lat.shape, bool)
-        for x1, y1, x2, y2 in part[["lon", "lat", "wu", "wv"]].to_numpy():
-            if y1 != y2:
-                odd ^= ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
-        out |= odd
-    return out
-
-
 def advect(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: float, record_every: int, seed: int,
-           land: DataFrame | None = None, diffusion: bool = True, block: int = 256, timestep_s: float = C.TIMESTEP_S) -> DataFrame:
+           land: DataFrame | None = None, diffusion: bool = True, block: int = 1024, timestep_s: float = C.TIMESTEP_S) -> DataFrame:
     """RK4 advection of every incident's cloud over `hours` (negative = backwards) -> `drift_pos`.
 
     Work unit = (incident, block of `block` particles) with that incident's grid slice and the land edges of its grid
@@ -194,7 +140,7 @@ def advect(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: f
     def run(key, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if p.empty or not (c.kind == 0).any():
             return pd.DataFrame({k: [] for k in ("incident_id", "particle_id", "t_h", "lat", "lon", "beached")})
-        fld, edges = _Field(c[c.kind == 0]), c[c.kind == 1]
+        fld, edges = GridField(c[c.kind == 0]), c.loc[c.kind == 1, ["ti", "lon", "lat", "wu", "wv"]].to_numpy(float)
         la0, lo0 = float(p.lat0.iloc[0]), float(p.lon0.iloc[0])
         r = math.radians(la0)
         my = 111_132.92 - 559.82 * math.cos(2 * r) + 1.175 * math.cos(4 * r)
@@ -218,10 +164,10 @@ def advect(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: f
             nx = x + dt / 6 * (a[0] + 2 * b[0] + 2 * d[0] + e[0])
             ny = y + dt / 6 * (a[1] + 2 * b[1] + 2 * d[1] + e[1])
             if sigma:
-                gx, gy = _noise(int(key[0]), pid, k, seed)
+                gx, gy = keyed_normals(int(key[0]), pid, k, seed)
                 nx, ny = nx + sigma * gx, ny + sigma * gy
             if len(edges):
-                beached |= _ashore(edges, la0 + ny / my, lo0 + nx / mx)
+                beached |= ashore(edges, la0 + ny / my, lo0 + nx / mx)
                 nx, ny = np.where(beached, x, nx), np.where(beached, y, ny)
             x, y, t = nx, ny, t + h
             if (k + 1) % record_every == 0 or k == n_steps - 1:
@@ -232,6 +178,11 @@ def advect(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: f
             "beached": np.tile(beached, len(out))})
 
     keys = ["incident_id", "blk"]
+    ctx = ctx.select(*[F.col(c).alias(c) for c in ctx.columns])      # own column ids: both sides stem from the seeds
+    # the input is small and the work is long: spread by units, not by bytes, which adaptive merging would go by
+    units = blks.count()
+    tasks = max(1, min(units, max(2 * s.sparkSession.sparkContext.defaultParallelism, units // 32)))
+    s, ctx = s.repartition(tasks, *keys), ctx.repartition(tasks, *keys)
     return s.groupBy(*keys).cogroup(ctx.groupBy(*keys)).applyInPandas(run, _POS)
 
 
@@ -379,38 +330,29 @@ def snapshot(drift_pos: DataFrame, beach: DataFrame, horizons=C.HORIZONS_H) -> D
     return g.join(r, key).join(exact_quantiles(d, key, "_d", {"p90_radius_km": 0.9}), key)
 
 
-def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Monotone-chain hull, counter-clockwise vertex indices."""
-    o = np.lexsort((y, x))
-
-    def chain(ix):
-        st = []
-        for i in ix:
-            while len(st) > 1 and (x[st[-1]] - x[st[-2]]) * (y[i] - y[st[-2]]) - (y[st[-1]] - y[st[-2]]) * (x[i] - x[st[-2]]) <= 0:
-                st.pop()
-            st.append(i)
-        return st
-    lo, up = chain(o), chain(o[::-1])
-    return np.array(lo[:-1] + up[:-1]) if len(lo) > 1 else np.array(lo)
-
-
-def hull(points: DataFrame, keys: list[str], blocks: int = 64, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Convex hull vertices per group: hulls of hashed blocks first, then the hull of their vertices, so no task holds a
-    whole crowded group."""
-    cols = [*keys, x, y]
-    p = points.select(*cols).withColumn("_b", F.pmod(F.xxhash64(x, y), F.lit(blocks)))
-    fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    out = ", ".join(f"{c} {fields[c]}" for c in cols)
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = pdf[cols].drop_duplicates([x, y])
-        return u.iloc[_hull(u[x].to_numpy(float), u[y].to_numpy(float))]
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = part(pdf)
-        return h.assign(seq=np.arange(len(h)))
-    first = p.groupBy(*keys, "_b").applyInPandas(part, out)
-    return first.groupBy(*keys).applyInPandas(last, out + ", seq long")
+def _hull_udf():
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def hull_of(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            u = np.unique(np.column_stack([np.asarray(x, float), np.asarray(y, float)]), axis=0)
+            out.append([{"x": a, "y": b} for a, b in u[convex_hull(u[:, 0], u[:, 1])]])
+        return pd.Series(out)
+    return hull_of
+
+
+def hull(points: DataFrame, keys: list[str], block: int = 4096, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Convex hull ring per group: hulls of blocks of about `block` points first, then the hull of their vertices, so no
+    task holds a whole crowded group."""
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    p = points.select(*keys, x, y).join(n, keys).withColumn("_b", F.pmod(F.xxhash64(x, y), F.ceil(F.col("_n") / block)))
+    hull_of = _hull_udf()
+    pack = lambda df, by: df.groupBy(*by).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_p")).select(
+        *by, hull_of(F.col("_p.x"), F.col("_p.y")).alias("_h"))
+    first = pack(p, [*keys, "_b"]).select(*keys, F.explode("_h").alias("_v")).select(
+        *keys, F.col("_v.x").alias(x), F.col("_v.y").alias(y))
+    return pack(first, keys).select(*keys, F.posexplode("_h").alias("seq", "_v")).select(
+        *keys, "seq", F.col("_v.x").alias(x), F.col("_v.y").alias(y))
 
 
 def coastal_impact(drift_pos: DataFrame, beach: DataFrame) -> DataFrame:

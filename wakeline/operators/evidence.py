@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline import config as C
 from wakeline.functions import geo
+from wakeline.functions.kernels import haversine_m
 from wakeline.functions.labels import anomaly_unit_score, cpa_score, score_band, severity
 from wakeline.operators.slices import exact_quantiles, sliced
 from wakeline.operators.spatial import padded, position_at, spans
@@ -150,24 +153,40 @@ def st_score(legs_in: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 # -- oil cloud --------------------------------------------------------------------------------------------------------
-def pack_cloud(drift_pos: DataFrame, chunk: int = 512) -> DataFrame:
-    """Particles of one recorded step as arrays of at most ~`chunk` points, so no row and no join output holds them all."""
-    n = drift_pos.groupBy("incident_id", "t_h").agg(F.count(F.lit(1)).alias("_n"))
-    c = drift_pos.join(n, ["incident_id", "t_h"]).withColumn(
-        "_k", F.pmod(F.xxhash64("particle_id"), F.ceil(F.col("_n") / chunk)).cast("int"))
-    return c.groupBy("incident_id", "t_h", "_k").agg(F.collect_list(F.struct("lat", "lon")).alias("cloud"))
-
-
-def cloud_overlap(points: DataFrame, cloud: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean kernel and nearest distance of each point to the particles of its step (partial sums per chunk)."""
-    j = points.join(cloud, ["incident_id", "t_h"])
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(1e12).alias("d"))
-
-    def step(acc, p):
-        d = geo.haversine_km(F.col("lat"), F.col("lon"), p["lat"], p["lon"])
-        return F.struct((acc["s"] + kernel(d)).alias("s"), F.least(acc["d"], d).alias("d"))
-    part = j.withColumn("_r", F.aggregate("cloud", start, step))
-    return part.groupBy(*keys).agg((F.sum("_r.s") / F.sum(F.size("cloud"))).alias("overlap"), F.min("_r.d").alias("nearest"))
+def _packed(points: DataFrame, chunk: int, key: list[str], prefix: str) -> DataFrame:
+    """Points of one recorded step as parallel arrays of about `chunk` elements, so no row holds a crowded step whole."""
+    step = ["incident_id", "t_h"]
+    n = points.groupBy(*step).agg(F.count(F.lit(1)).alias("_n"))
+    c = points.join(n, step).withColumn("_k", F.pmod(F.xxhash64(*key), F.ceil(F.col("_n") / chunk)).cast("int"))
+    rec = F.collect_list(F.struct(F.struct(*key).alias("id"), "lat", "lon"))
+    g = c.groupBy(*step, "_k").agg(rec.alias("_r"))
+    return g.select(*step, *[F.col(f"_r.{c}").alias(f"{prefix}{c}") for c in ("id", "lat", "lon")])
+
+
+def _kernel_udf(sigma_km: float):
+    @F.pandas_udf("s array<double>, d array<double>")
+    def block(plat: pd.Series, plon: pd.Series, clat: pd.Series, clon: pd.Series) -> pd.DataFrame:
+        """Kernel sum and nearest distance of a block of points to a block of particles."""
+        s, d = [], []
+        for a, b, c, e in zip(plat, plon, clat, clon):
+            km = haversine_m(np.asarray(a)[:, None], np.asarray(b)[:, None], np.asarray(c)[None], np.asarray(e)[None]) / 1000.0
+            s.append(np.exp(-0.5 * (km / sigma_km) ** 2).sum(axis=1))
+            d.append(km.min(axis=1))
+        return pd.DataFrame({"s": s, "d": d})
+    return block
+
+
+def cloud_overlap(points: DataFrame, drift_pos: DataFrame, key: list[str], chunk: int = 256) -> DataFrame:
+    """Mean kernel and nearest distance of each point (incident_id, t_h, key) to the particles of its step.
+
+    Points and particles of a step meet as blocks of at most ~`chunk`: one joined row per block pair, evaluated as a
+    matrix inside the task; sums and minima of the blocks are then combined. No point-particle pair becomes a row."""
+    j = _packed(points, chunk, key, "p").join(_packed(drift_pos, chunk, ["particle_id"], "c"), ["incident_id", "t_h"])
+    r = j.select("incident_id", "t_h", "pid", F.size("clat").alias("_n"), _kernel_udf(C.ST_SIGMA_KM)("plat", "plon", "clat", "clon").alias("_r"))
+    z = r.select("incident_id", "t_h", "_n", F.explode(F.arrays_zip("pid", F.col("_r.s").alias("s"), F.col("_r.d").alias("d"))).alias("z"))
+    keys = list(dict.fromkeys(["incident_id", "t_h", *key]))
+    z = z.select("incident_id", "t_h", "_n", *[F.col(f"z.pid.{k}").alias(k) for k in key if k not in ("incident_id", "t_h")], "z.s", "z.d")
+    return z.groupBy(*keys).agg((F.sum("s") / F.sum("_n")).alias("overlap"), F.min("d").alias("nearest"))
 
 
 def cloud_ceiling(drift_pos: DataFrame, sample: int = 160) -> DataFrame:
@@ -175,7 +194,7 @@ def cloud_ceiling(drift_pos: DataFrame, sample: int = 160) -> DataFrame:
     ranked = drift_pos.withColumn("_h", F.xxhash64("incident_id", "particle_id")).withColumn(
         "_rn", F.row_number().over(W.partitionBy("incident_id", "t_h").orderBy("_h", "particle_id")))
     pts = ranked.filter(F.col("_rn") <= sample).select("incident_id", "t_h", "particle_id", "lat", "lon")
-    o = cloud_overlap(pts, pack_cloud(drift_pos), ["incident_id", "t_h", "particle_id"])
+    o = cloud_overlap(pts, drift_pos, ["particle_id"])
     return o.groupBy("incident_id", "t_h").agg(F.greatest(F.max("overlap"), F.lit(1e-6)).alias("ceiling"))
 
 
@@ -186,7 +205,7 @@ def volume_match(pairs: DataFrame, fixes: DataFrame, drift_pos: DataFrame) -> Da
     times = (pairs.select(*PAIR).join(steps, "incident_id").join(sp, "mmsi")
              .filter(F.col("t_h").between(F.col("_a") - 0.25, F.col("_b") + 0.25)).select(*PAIR, "t_h"))
     at = position_at(fixes, times).select(*PAIR, "t_h", "lat", "lon")
-    return cloud_overlap(at, pack_cloud(drift_pos), [*PAIR, "t_h"])
+    return cloud_overlap(at, drift_pos, ["mmsi"])
 
 
 def volume_score(match: DataFrame, ceiling: DataFrame, incidents: DataFrame) -> DataFrame:

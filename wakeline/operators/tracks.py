@@ -7,12 +7,15 @@ lat, lon, sog, cog, heading, rot and the identity readings. Nothing here windows
 from __future__ import annotations
 
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline import config as C
 from wakeline.functions import geo
+from wakeline.functions.kernels import walk
 from wakeline.functions.labels import nav_label, type_group, with_flag
 from wakeline.operators.slices import sliced
 from wakeline.session import durable
@@ -50,19 +53,22 @@ def min_points(fixes: DataFrame, n: int = C.MIN_TRACK_POINTS) -> DataFrame:
     return fixes.join(enough, "mmsi", "left_semi")
 
 
-def _greedy(entry: Column, fixes: Column, max_kn: float) -> Column:
-    """Fold one block: state = (last kept fix, kept t_us so far)."""
-    point = lambda f: F.struct(f["t_us"].alias("t_us"), f["t_h"].alias("t_h"), f["lat"].alias("lat"), f["lon"].alias("lon"))
-    start = F.struct(entry.alias("last"), F.array().cast("array<bigint>").alias("kept"))
+_FOLD = "last struct<t_us:bigint,t_h:double,lat:double,lon:double>, kept array<bigint>"
 
-    def step(acc, f):
-        last = acc["last"]
-        dt_s = (f["t_h"] - last["t_h"]) * 3600.0
-        kn = geo.haversine_m(last["lat"], last["lon"], f["lat"], f["lon"]) / dt_s * C.KN_PER_MS
-        ok = last.isNull() | ((f["t_h"] > last["t_h"]) & (kn <= max_kn))
-        return F.when(ok, F.struct(point(f).alias("last"), F.array_append(acc["kept"], f["t_us"]).alias("kept"))
-                      ).otherwise(acc)
-    return F.aggregate(fixes, start, step)
+
+def _fold_udf(max_kn: float):
+    """Arrow-batched fold: one row per block in, last kept fix and kept instants out."""
+    @F.pandas_udf(_FOLD)
+    def fold(t_us: pd.Series, t: pd.Series, lat: pd.Series, lon: pd.Series, entry: pd.DataFrame) -> pd.DataFrame:
+        last, kept = [], []
+        for u, a, b, c, e0, e1, e2, e3 in zip(t_us, t, lat, lon, entry["t_us"], entry["t_h"], entry["lat"], entry["lon"]):
+            e = None if pd.isna(e0) else (e1, e2, e3)
+            k = walk(np.asarray(a), np.asarray(b), np.asarray(c), e, max_kn)
+            ix = np.flatnonzero(k)
+            kept.append(np.asarray(u)[ix])
+            last.append((int(u[ix[-1]]), a[ix[-1]], b[ix[-1]], c[ix[-1]]) if ix.size else (int(e0), e1, e2, e3))
+        return pd.DataFrame({"last": [dict(zip(("t_us", "t_h", "lat", "lon"), x)) for x in last], "kept": kept})
+    return fold
 
 
 def drop_fast(fixes: DataFrame, max_kn: float = C.MAX_SOG_KN, block: int = C.FOLD_BLOCK,
@@ -76,15 +82,17 @@ def drop_fast(fixes: DataFrame, max_kn: float = C.MAX_SOG_KN, block: int = C.FOL
     """
     ordered = sliced(fixes, ["mmsi"], ["t_us"], "slice", index="_i").withColumn(
         "_blk", F.floor(F.col("_i") / block))
-    blocks = durable(ordered.groupBy("mmsi", "_blk").agg(
-        F.sort_array(F.collect_list(F.struct("t_us", "t_h", "lat", "lon"))).alias("_f")))
+    packed = ordered.groupBy("mmsi", "_blk").agg(
+        F.sort_array(F.collect_list(F.struct("t_us", "t_h", "lat", "lon"))).alias("_f"))
+    blocks = durable(packed.select("mmsi", "_blk", *[F.col(f"_f.{c}").alias(f"_{c}") for c in ("t_us", "t_h", "lat", "lon")]))
+    fold = _fold_udf(max_kn)
     pt = "struct<t_us:bigint,t_h:double,lat:double,lon:double>"
     wk = W.partitionBy("mmsi").orderBy("_blk")
     state = blocks.select("mmsi", "_blk", F.lit(None).cast(pt).alias("_in"))
     n_pass = 0
     while True:
         folded = blocks.join(state, ["mmsi", "_blk"]).select(
-            "mmsi", "_blk", "_in", _greedy(F.col("_in"), F.col("_f"), max_kn).alias("_r"))
+            "mmsi", "_blk", "_in", fold("_t_us", "_t_h", "_lat", "_lon", "_in").alias("_r"))
         out = durable(folded.select("mmsi", "_blk", "_in", F.col("_r.last").alias("_out"), F.col("_r.kept").alias("_kept")))
         nxt = out.select("mmsi", "_blk", F.lag("_out").over(wk).alias("_new"), F.col("_in"))
         n_pass += 1

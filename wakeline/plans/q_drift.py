@@ -168,10 +168,10 @@ def d4_j8_particle_origins(spark, sf):
 
 
 @query("g19_origin_spread", q(f"""
-  SELECT incident_id, {r('any_value(ma)')} AS centroid_lat, {r('any_value(mo)')} AS centroid_lon, {r('avg(' + km('lat', 'lon', 'ma', 'mo') + ')')} AS spread_km
+  SELECT incident_id, {r('any_value(ma)', 9)} AS centroid_lat, {r('any_value(mo)', 9)} AS centroid_lon, {r('avg(' + km('lat', 'lon', 'ma', 'mo') + ')')} AS spread_km
   FROM (SELECT *, avg(lat) OVER (PARTITION BY incident_id) AS ma, avg(lon) OVER (PARTITION BY incident_id) AS mo FROM orig) GROUP BY 1""", "orig"))
 def g19_origin_spread(spark, sf):
-    return dr.spread_km(origin_points(spark, sf)).select("incident_id", rd("centroid_lat"), rd("centroid_lon"), rd("spread_km"))
+    return dr.spread_km(origin_points(spark, sf)).select("incident_id", rd("centroid_lat", 9), rd("centroid_lon", 9), rd("spread_km"))
 
 
 cte("obox", f"""SELECT incident_id, w - 8000 / {m_lon('(s + n) / 2')} AS w, e + 8000 / {m_lon('(s + n) / 2')} AS e, s - 8000 / {m_lat('(s + n) / 2')} AS s, n + 8000 / {m_lat('(s + n) / 2')} AS n
@@ -245,13 +245,13 @@ cte("snap1", "SELECT *, avg(lat) OVER w AS ma, avg(lon) OVER w AS mo FROM snap0
 
 
 @query("g20_horizon_snapshot", q(f"""
-  SELECT incident_id, t_h AS horizon_h, count(*) AS n_particles, {r('any_value(ma)')} AS centroid_lat, {r('any_value(mo)')} AS centroid_lon, {r('min(lon)')} AS west,
+  SELECT incident_id, t_h AS horizon_h, count(*) AS n_particles, {r('any_value(ma)', 9)} AS centroid_lat, {r('any_value(mo)', 9)} AS centroid_lon, {r('min(lon)')} AS west,
     {r('max(lat)')} AS north, {r('avg(CASE WHEN beach_h <= t_h THEN 1.0 ELSE 0.0 END)')} AS fraction_beached, {r('avg(' + km('lat', 'lon', 'ma', 'mo') + ')')} AS mean_radius_km,
     {r('quantile_cont(' + km('lat', 'lon', 'ma', 'mo') + ', 0.9)')} AS p90_radius_km FROM snap1 GROUP BY 1, 2""", "snap1"))
 def g20_horizon_snapshot(spark, sf):
     d = fx.drift_forward(spark, sf)
     s = dr.snapshot(d, dr.beach_time(d))
-    return s.select("incident_id", "horizon_h", "n_particles", *[rd(c) for c in ("centroid_lat", "centroid_lon", "west", "north", "fraction_beached", "mean_radius_km", "p90_radius_km")])
+    return s.select("incident_id", "horizon_h", "n_particles", rd("centroid_lat", 9), rd("centroid_lon", 9), *[rd(c) for c in ("west", "north", "fraction_beached", "mean_radius_km", "p90_radius_km")])
 
 
 @query("g20_footprint_hull")
@@ -261,11 +261,11 @@ def g20_footprint_hull(spark, sf):
 
 @query("g21_coastal_impact", q(f"""
   SELECT incident_id, sum(b) > 0 AS will_beach, {r('avg(b)')} AS fraction_beached, CAST(sum(b) AS BIGINT) AS n_beached, min(beach_h) AS eta_h,
-    {r('avg(lat) FILTER (b = 1)')} AS landfall_lat, {r('arg_min(lat, beach_h * 1e9 + p) FILTER (b = 1)')} AS contact_lat
+    {r('avg(lat) FILTER (b = 1)', 9)} AS landfall_lat, {r('arg_min(lat, beach_h * 1e9 + p) FILTER (b = 1)')} AS contact_lat
   FROM (SELECT d.*, CASE WHEN beached THEN 1 ELSE 0 END AS b, x.beach_h FROM dfwd d LEFT JOIN beach x USING (incident_id, p) WHERE t_h = 48) GROUP BY 1""", "dfwd", "beach"))
 def g21_coastal_impact(spark, sf):
     d = fx.drift_forward(spark, sf)
-    return dr.coastal_impact(d, dr.beach_time(d)).select("incident_id", "will_beach", rd("fraction_beached"), "n_beached", "eta_h", rd("landfall_lat"), rd("contact_lat"))
+    return dr.coastal_impact(d, dr.beach_time(d)).select("incident_id", "will_beach", rd("fraction_beached"), "n_beached", "eta_h", rd("landfall_lat", 9), rd("contact_lat"))
 
 
 @query("g21_l5_contact_points", q("""
@@ -282,11 +282,11 @@ cte("frame", """SELECT d.* FROM dfwd d JOIN (
     WHERE n <= 120 OR EXISTS (SELECT 1 FROM range(120) g(j) WHERE CASE WHEN j = 119 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / 119e0)) AS BIGINT) END = i)) b USING (incident_id, p)""", "dfwd", "part0")
 
 
-@query("g30_l5_centroid_path", q(f"SELECT incident_id, t_h, count(*) AS n, {r('avg(lat)')} AS lat, {r('avg(lon)')} AS lon FROM frame GROUP BY 1, 2", "frame"))
+@query("g30_l5_centroid_path", q(f"SELECT incident_id, t_h, count(*) AS n, {r('avg(lat)', 9)} AS lat, {r('avg(lon)', 9)} AS lon FROM frame GROUP BY 1, 2", "frame"))
 def g30_l5_centroid_path(spark, sf):
     f = dr.decimate_cloud(fx.drift_forward(spark, sf))
     return dr.centroid_path(f).join(f.groupBy("incident_id", "t_h").agg(F.count(F.lit(1)).alias("n")), ["incident_id", "t_h"]).select(
-        "incident_id", "t_h", "n", rd("lat"), rd("lon"))
+        "incident_id", "t_h", "n", rd("lat", 9), rd("lon", 9))
 
 
 cte("vpos", f"""SELECT p.incident_id, p.mmsi, g.t, coalesce(a.lat + (g.t - a.t_h) / (a.t2 - a.t_h) * (a.lat2 - a.lat), CASE WHEN g.t < s.f_h THEN s.f_lat ELSE s.l_lat END) AS lat,
