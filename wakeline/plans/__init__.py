@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_tracks", "q_evidence", "q_records", "q_drift"]
+MODULES = ["q_tracks", "q_evidence", "q_records", "q_drift", "q_raster"]
 
 
 def all_queries():

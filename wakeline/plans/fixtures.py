@@ -235,3 +235,45 @@ def weather_input(spark, sf) -> DataFrame:
     return load(spark, sf, "part").select(
         "p_partkey", (F.col("p_retailprice") / 50).alias("area_km2"), (F.lit(10.0) + F.col("p_size") % 25).alias("temp_c"), oil.alias("oil"),
         (F.col("p_retailprice") * 1.5).alias("width_m"))
+
+
+# -- scenes -----------------------------------------------------------------------------------------------------------
+def scene_pixels(spark, sf) -> DataFrame:
+    """One pixel row per embedding, one column per element; a scene is a hundred rows."""
+    return memo("pixels", spark, sf, lambda: _scene_pixels(spark, sf))
+
+
+def _scene_pixels(spark, sf) -> DataFrame:
+    e = load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "v"))
+    return e.select(F.expr("cast(vec_id div 100 as int)").alias("scene_id"), (F.col("vec_id") % 100).cast("int").alias("row"), "col",
+                    (F.lit(-12.0) + F.lit(4.0) * F.col("v").cast("double")).alias("sigma0_db"), F.lit(-11.5).alias("background_db"))
+
+
+def scenes(spark, sf) -> DataFrame:
+    p = scene_pixels(spark, sf).groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    return p.select("scene_id", "width", "height", F.lit(60.0).alias("pixel_m"), F.lit(0.0036).alias("pixel_area_km2"),
+                    (F.lit(73.0) + F.col("scene_id") * F.lit(0.1)).alias("w"), F.lit(15.0).alias("s"),
+                    (F.lit(73.04) + F.col("scene_id") * F.lit(0.1)).alias("e"), F.lit(15.05).alias("n"))
+
+
+def dark_pixels(spark, sf) -> DataFrame:
+    return scene_pixels(spark, sf).filter(F.col("sigma0_db") < -12.3).select("scene_id", "row", "col")
+
+
+def blocks(spark, sf) -> DataFrame:
+    """Every pixel in a region: tiles of 20 x 16 (ragged at the last row)."""
+    r = F.expr("row div 20") * 100 + F.expr("col div 16")
+    return scene_pixels(spark, sf).select("scene_id", "row", "col", r.cast("bigint").alias("region_id"))
+
+
+def region_rows(spark, sf) -> DataFrame:
+    """Feature rows, one per line item."""
+    q = F.col("l_quantity")
+    return load(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 50).cast("int").alias("scene_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region_id"),
+        F.col("l_partkey"), (F.col("l_discount") * 100).alias("mean_contrast_db"), (F.col("l_tax") * 5).alias("border_gradient_db_px"),
+        (q * 2).alias("spreading"), (q / 5).alias("elongation"), (F.lit(1.0) + F.col("l_discount") * 20).alias("complexity"),
+        (F.lit(0.4) + F.col("l_tax") * 5).alias("solidity"), (F.col("l_linenumber") * 2.5).alias("local_wind_ms"),
+        (q / 20).alias("dist_to_land_km"), (F.col("l_extendedprice") % 1000 / 1000).alias("probability"),
+        F.when(F.col("l_returnflag") == "A", 0.5).alias("threshold"), (F.col("l_returnflag") == "R").alias("is_real"),
+        (F.col("l_linenumber") % 3 * 100.0).alias("width_m"), F.col("l_returnflag"))
