@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_tracks", "q_evidence", "q_records", "q_drift", "q_raster"]
+MODULES = ["q_tracks", "q_evidence", "q_records", "q_drift", "q_raster", "q_models"]
 
 
 def all_queries():
