@@ -9,6 +9,7 @@ from wakeline.functions.labels import vessel_prior
 from wakeline.operators import evidence as ev
 from wakeline.operators import spatial as sp
 from wakeline.operators import tracks as tr
+from wakeline.session import durable
 
 
 def gather(fixes: DataFrame, incidents: DataFrame, *, pairs: DataFrame | None = None, drift_pos: DataFrame | None = None,
@@ -16,7 +17,7 @@ def gather(fixes: DataFrame, incidents: DataFrame, *, pairs: DataFrame | None =
     """All evidence per gated pair. With `drift_pos` the space-time score searches the oil cloud, else the origin point.
     A model that is not engaged leaves its component unavailable."""
     pairs = sp.gate(fixes, incidents) if pairs is None else pairs
-    lg = sp.pair_legs(pairs, fixes, incidents)
+    lg = durable(sp.pair_legs(pairs, fixes, incidents))       # read by every evidence aggregate
     if drift_pos is None:
         st = ev.st_score(lg, fixes)
     else:

@@ -273,7 +273,7 @@ def origin_grid(origin: DataFrame, n: int = C.ORIGIN_GRID, pad_km: float = C.ORI
         t = df.withColumn("_t", F.explode(taps)).withColumn(axis, F.col(axis) + F.col("_t.d"))
         t = t.filter(F.col(axis).between(0, n - 1))
         return t.groupBy("incident_id", axis, other).agg(F.sum(F.col("v") * F.col("_t.k")).alias("v"))
-    sm = blur(blur(acc, "ri"), "ci")
+    sm = durable(blur(blur(acc, "ri"), "ci"))
     tot = sm.groupBy("incident_id").agg(F.sum("v").alias("_tot"))
     g = sm.join(broadcast_if_small(tot), "incident_id").join(broadcast_if_small(box), "incident_id")
     return g.select("incident_id", "ri", "ci", (F.col("v") / F.when(F.col("_tot") > 0, F.col("_tot"))).alias("prob"),
@@ -318,7 +318,7 @@ def snapshot(drift_pos: DataFrame, beach: DataFrame, horizons=C.HORIZONS_H) -> D
     """Cloud at each horizon: centroid, mean and exact 90 % radius, box, beached share."""
     hs = F.explode(F.array(*[F.lit(float(h)) for h in horizons]))
     ids = drift_pos.select(*PKEY).distinct().withColumn("t_q", hs)
-    at = particle_at(drift_pos, ids).join(beach, PKEY, "left").withColumnRenamed("t_q", "horizon_h")
+    at = durable(particle_at(drift_pos, ids).join(beach, PKEY, "left").withColumnRenamed("t_q", "horizon_h"))
     key = ["incident_id", "horizon_h"]
     g = at.groupBy(*key).agg(
         F.avg("lat").alias("centroid_lat"), F.avg("lon").alias("centroid_lon"), F.count(F.lit(1)).alias("n_particles"),

@@ -9,6 +9,7 @@ from wakeline.functions import labels as lb
 from wakeline.operators import evidence as ev
 from wakeline.operators import spatial as sp
 from wakeline.operators import tracks as tr
+from wakeline.operators.attribution import gather
 from wakeline.plans import fixtures as fx
 from wakeline.plans.registry import query, rd
 from wakeline.plans.sqltext import bearing, q, r
@@ -26,12 +27,7 @@ def pair_legs(spark, sf):
 
 def evidence(spark, sf):
     """All evidence of every gated pair; the trajectory and ping models are not engaged here."""
-    lg, t = pair_legs(spark, sf), fx.tracks(spark, sf)
-    kind = tr.identity(t).select("mmsi", "vessel_type", "name")
-    e = ev.window_evidence(lg).join(ev.st_score(lg, t), PAIR).join(kind, "mmsi")
-    return (e.withColumn("vessel_prior", lb.vessel_prior("vessel_type"))
-            .withColumn("axis_alignment_available", F.col("axis_available"))
-            .withColumn("route_deviation", F.lit(0.0)).withColumn("route_deviation_available", F.lit(False)))
+    return gather(fx.tracks(spark, sf), fx.incidents(spark, sf), pairs=pairs(spark, sf))
 
 
 def ranked(spark, sf):
