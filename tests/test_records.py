@@ -71,3 +71,14 @@ def test_retry_cap_and_fingerprint(spark):
     got = {r.alert_id: (r.status, r.attempts, len(r.error_log)) for r in al.apply_outcomes(a, o).collect()}
     assert got == {1: ("FAILED", 3, 1), 2: ("SENT", 2, 1), 3: ("SENT", 1, 0)}
     assert [r.alert_id for r in al.retry_queue(a).collect()] == [2]
+
+
+def test_land_sources(spark, tmp_path):
+    poly = '{"type": "Polygon", "coordinates": [[[0,0],[2,0],[2,2],[0,2],[0,0]]]}'
+    texts = {"fc": '{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": %s}, {"type": "Feature", "geometry": null}]}' % poly,
+             "one": '{"type": "Feature", "geometry": %s}' % poly, "bare": "[%s]" % poly, "geom": poly}
+    for name, t in texts.items():
+        f = tmp_path / f"{name}.json"
+        f.write_text(t)
+        g = zn.read_land_geojson(spark, str(f))
+        assert zn.zone_edges(zn.polygons(g)).count() == 4, name

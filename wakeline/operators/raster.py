@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wakeline import config as C
 from wakeline.functions import geo
 from wakeline.operators.drift import hull, principal_axis
-from wakeline.operators.slices import exact_quantiles
+from wakeline.operators.slices import exact_quantiles, sliced
 from wakeline.session import broadcast_if_small, durable
 
 PX = ["scene_id", "row", "col"]
@@ -258,10 +258,10 @@ def rle_encode(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     r = runs(mask).join(broadcast_if_small(scenes.select("scene_id", "width")), "scene_id")
     lin = r.select("scene_id", "row", (F.col("row").cast("bigint") * F.col("width") + F.col("c0")).alias("a"),
                    (F.col("row").cast("bigint") * F.col("width") + F.col("c1") + 1).alias("b"), "c0", "c1", "width")
-    # only full-width rows can chain; a run touching the row end joins the next row's run from column 0
-    w = W.partitionBy("scene_id").orderBy("a")
-    s = lin.withColumn("_new", F.when(F.lag("b").over(w) == F.col("a"), 0).otherwise(1))
-    s = s.withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # a run touching the row end joins the next row's run from column 0; both steps are cut by scene row
+    p = sliced(lin, ["scene_id"], ["a"], "row", prev="_p", carry=("b",))
+    p = p.withColumn("_new", F.when(F.col("_p.b") == F.col("a"), 0).otherwise(1)).select("scene_id", "row", "a", "b", "_new")
+    s = sliced(p, ["scene_id"], ["a"], "row", sums={"_g": F.col("_new")})
     return s.groupBy("scene_id", "_g").agg(F.min("a").alias("start"), (F.max("b") - F.min("a")).alias("length")).drop("_g")
 
 

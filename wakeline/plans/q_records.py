@@ -253,14 +253,15 @@ def s10_replace_fusion(spark, sf):
 
 
 @query("j15_case_evidence_join", q("""
-  SELECT k.id AS case_id, (SELECT count(*) FROM anom a WHERE a.case_id = k.id) AS n_anomalies,
-    coalesce(list_aggregate((SELECT list(alert_id ORDER BY alert_id) FROM alert l WHERE l.alert_id % 15000 = k.id), 'string_agg', ','), '') AS alert_ids FROM kase k""",
+  SELECT k.id AS case_id, e.kind, count(e.kind) AS n, min(CASE WHEN e.kind = 'alert' THEN e.ref END) AS first_alert, max(CASE WHEN e.kind = 'alert' THEN e.ref END) AS last_alert
+  FROM kase k LEFT JOIN (SELECT case_id, 'anomaly' AS kind, 0::BIGINT AS ref FROM anom UNION ALL SELECT alert_id % 15000, 'alert', alert_id FROM alert) e ON e.case_id = k.id GROUP BY 1, 2""",
                                   "kase", "anom", "alert"))
 def j15_case_evidence_join(spark, sf):
     a = rec.emit_anomalies(fused_cases(spark, sf), ranked(spark, sf))
     l = fx.alerts(spark, sf).withColumn("case_id", F.col("alert_id") % 15000)
-    c = rec.case_join(fx.cases(spark, sf).select("case_id"), a, l)
-    return c.select("case_id", F.size("anomaly_ids").cast("long").alias("n_anomalies"), F.array_join(F.transform("alert_ids", lambda x: x.cast("string")), ",").alias("alert_ids"))
+    j = rec.case_join(fx.cases(spark, sf).select("case_id"), a, l)
+    ref = F.when(F.col("kind") == "alert", F.col("ref_id"))
+    return j.groupBy("case_id", "kind").agg(F.count("kind").alias("n"), F.min(ref).alias("first_alert"), F.max(ref).alias("last_alert"))
 
 
 @query("s11_evidence_document")
