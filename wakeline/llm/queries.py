@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import quality_rules
+from wakeline.llm import bpe_transducer, quality_rules, source_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,13 @@ FROM f LEFT JOIN v USING (source)""")
 def op10(spark, sf):
     return quality_rules.judge(_table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op8_bpe_transducer")
+def op8(spark, sf):
+    return bpe_transducer.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op7_source_mix")
+def op7(spark, sf):
+    return source_mix.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
