@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import bpe_transducer, quality_rules, source_mix
+from wakeline.llm import bpe_transducer, quality_rules, source_mix, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op8(spark, sf):
 @_query("op7_source_mix")
 def op7(spark, sf):
     return source_mix.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@_query("op1_token_files")
+def op1(spark, sf):
+    return token_files.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
