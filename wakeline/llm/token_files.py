@@ -46,19 +46,21 @@ def _widths(ids: np.ndarray) -> np.ndarray:
     return w + (left > 0)
 
 
+_WIDTH_16 = _widths(np.arange(1 << 16, dtype=np.uint64)).astype(np.uint8)
+
+
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words, index (first word and escape of each block), escapes. All blocks advance together, a word each per step."""
-    ids = np.asarray(ids, np.uint64)
-    nb = -(-len(ids) // block)
-    pad = np.zeros(nb * block + 64, np.uint64)
-    pad[:len(ids)] = ids
-    width = _widths(pad)
-    escape = width > 60
-    # the selector of a word that starts at each id: the fullest one whose ids all fit (ids past the block's end do not count)
-    length = np.minimum(len(ids) - np.arange(nb) * block, block)
-    end = np.repeat(np.arange(nb) * block + length, block)
-    n = nb * block
-    at = np.arange(n)
+    ids = np.asarray(ids)
+    nb, stride = -(-len(ids) // block), block + 64          # zeros after each block stand in for the ids of the next
+    pad = np.zeros((nb + 1, stride), ids.dtype if ids.dtype.kind == "u" else np.uint64)
+    whole = len(ids) // block
+    pad[:whole, :block] = ids[:whole * block].reshape(whole, block)
+    pad[whole, :len(ids) - whole * block] = ids[whole * block:]
+    pad = pad.reshape(-1)
+    small = pad.dtype.itemsize <= 4 and (not len(ids) or int(ids.max()) < 1 << 16)
+    width = _WIDTH_16[pad] if small else _widths(pad.astype(np.uint64)).astype(np.uint8)
+    n = nb * stride
     selector = np.zeros(n, np.int8)
     reach = {1: width}
     for c in sorted(set(COUNTS[1:].tolist())):      # largest width of the next c ids, from two overlapping shorter spans
@@ -71,23 +73,14 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
             reach[c] = np.maximum(span[:len(span) - (c - b)], span[c - b:])
     for s in range(len(PACKINGS) - 1, 0, -1):
         c, w = PACKINGS[s]
-        selector[reach[c][:n] <= w] = s
-    # the last ids of a block: zeros stand in for ids after it, so widths are taken of the block alone
-    tail = np.flatnonzero(end - at < 64)
-    if len(tail):
-        own = np.where(tail[:, None] + np.arange(60) < end[tail, None], width[np.minimum(tail[:, None] + np.arange(60), len(width) - 1)], 0)
-        most = np.maximum.accumulate(own, axis=1)
-        sel = np.zeros(len(tail), np.int8)
-        for s in range(len(PACKINGS) - 1, 0, -1):
-            c, w = PACKINGS[s]
-            sel[most[:, c - 1] <= w] = s
-        selector[tail] = sel
-    selector[escape[:n]] = 0
-    jump = COUNTS[selector]
-    pos, stop, starts = np.arange(nb) * block, np.arange(nb) * block + length, np.zeros(n, bool)
+        m = min(n, len(reach[c]))
+        selector[:m][reach[c][:m] <= w] = s
+    length = np.minimum(len(ids) - np.arange(nb) * block, block)
+    pos = np.arange(nb) * stride
+    stop, starts, jump = pos + length, np.zeros(n, bool), COUNTS.astype(np.int64)
     while len(pos):
         starts[pos] = True
-        pos = pos + jump[pos]
+        pos = pos + jump[selector[pos]]
         keep = pos < stop
         pos, stop = pos[keep], stop[keep]
     first = np.flatnonzero(starts)
@@ -97,14 +90,15 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
         c, w = PACKINGS[s]
         rows = np.flatnonzero(sel == s)
         if len(rows):
-            take = first[rows][:, None] + np.arange(c)
-            vals = np.where(take < end[first[rows]][:, None], pad[take], np.uint64(0))
-            words[rows] |= np.bitwise_or.reduce(vals << (np.arange(c, dtype=np.uint64) * np.uint64(w)), axis=1)
+            at, word = first[rows], np.zeros(len(rows), np.uint64)
+            for k in range(c):
+                word |= pad[at + k].astype(np.uint64) << np.uint64(k * w)
+            words[rows] |= word
     out = np.flatnonzero(sel == 0)
-    escapes = pad[first[out]]
-    word_at = np.searchsorted(first, np.arange(nb) * block)
-    esc_at = np.searchsorted(first[out], np.arange(nb) * block)
-    words[out] |= (np.arange(len(out)) - esc_at[first[out] // block]).astype(np.uint64)
+    escapes = pad[first[out]].astype(np.uint64)
+    word_at = np.searchsorted(first, np.arange(nb) * stride)
+    esc_at = np.searchsorted(first[out], np.arange(nb) * stride)
+    words[out] |= (np.arange(len(out)) - esc_at[first[out] // stride]).astype(np.uint64)
     return words, np.stack([word_at, esc_at], 1).astype(np.int64), escapes
 
 
@@ -292,9 +286,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
+    """Write the files under the shared folder, then read the documents back from them."""
     folder = f"{shared_folder(docs.sparkSession)}/tokens/{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + folder
-    folder = folder.replace("file:///", "/").replace("file:/", "/") if folder.startswith("file:") else folder
-    folder = "file://" + folder if folder.startswith("/") else folder
+    if folder.startswith("file:"):
+        folder = folder[len("file:"):]
+    folder = folder if "://" in folder else "file:///" + folder.lstrip("/")
     return read_token_files(write_token_files(docs, tokenizer_path, pattern, folder), folder)
