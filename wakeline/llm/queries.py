@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import bpe_transducer, quality_rules, source_mix, token_files
+from wakeline.llm import bpe_transducer, language_id, quality_rules, source_mix, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op7(spark, sf):
 @_query("op1_token_files")
 def op1(spark, sf):
     return token_files.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@_query("op5_language_id")
+def op5(spark, sf):
+    return language_id.identify(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
