@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wakeline.llm import bpe_transducer, language_id, quality_rules, source_mix, token_files
+from wakeline.llm import bpe_transducer, language_id, quality_rules, source_mix, token_files, warc_index
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,18 @@ def op1(spark, sf):
 @_query("op5_language_id")
 def op5(spark, sf):
     return language_id.identify(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op2_warc_index", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM f""")
+def op2(spark, sf):
+    pages = _table(spark, sf, "pages").select(
+        F.col("page_id").alias("id"), "url", (F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))).alias("ts"), F.col("html").alias("payload"))
+    return warc_index.archive(pages).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
