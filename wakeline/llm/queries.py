@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe_transducer, language_id, quality_rules, source_mix, token_files, warc_index
+from wakeline.llm import bpe_transducer, imatch, language_id, quality_rules, source_mix, token_files, warc_index
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op2(spark, sf):
         F.col("page_id").alias("id"), "url", (F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))).alias("ts"), F.col("html").alias("payload"))
     return warc_index.archive(pages).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op4_imatch")
+def op4(spark, sf):
+    return imatch.compare(_table(spark, sf, "documents"))
