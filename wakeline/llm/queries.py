@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe_transducer, imatch, language_id, quality_rules, source_mix, token_files, warc_index
+from wakeline.llm import bpe_transducer, imatch, language_id, quality_rules, source_mix, suffix_ranges, suffix_trees, token_files, warc_index
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,21 @@ def op2(spark, sf):
 @_query("op4_imatch")
 def op4(spark, sf):
     return imatch.compare(_table(spark, sf, "documents"))
+
+
+@_query("op6_suffix_ranges")
+def op6(spark, sf):
+    return suffix_ranges.remove_repeats(_table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query("op9_suffix_trees", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range(20) AS t(j)),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""")
+def op9(spark, sf):
+    return suffix_trees.removal_report(_table(spark, sf, "documents"))
