@@ -14,15 +14,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_STATES = 100_000     # states kept in a worker's transducer
-MAX_PIECES = 400_000     # pieces whose ids a worker remembers
+MAX_PIECES = 1_000_000   # pieces whose ids a worker remembers (about 200 bytes each)
 MAX_PAIRS = 400_000      # pairs of tokens whose verdict a worker remembers
 LOOKAHEAD = 16           # pending bytes from which certain tokens are looked for
 
@@ -139,25 +140,36 @@ class Transducer:
         return ids + self._back(s.ends, len(s.pending))     # end of input: the chain at the last offset holds
 
 
+class _Pieces(dict):
+    """Ids of a piece as little-endian 32-bit integers; the first `most` pieces are remembered."""
+
+    def __init__(self, fst: Transducer, most: int):
+        super().__init__()
+        self.fst, self.most = fst, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.fst.encode(piece.encode("utf-8", "surrogatepass"))
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.most:
+            self[piece] = got
+        return got
+
+
 class TextEncoder:
     """Pieces of a text through the transducer; frequent pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
         import regex
 
-        self.fst, self.find, self.max_pieces = Transducer(ranks, max_states), regex.compile(pattern).findall, max_pieces
-        self.known: dict[str, list[int]] = {}
+        self.fst, self.find = Transducer(ranks, max_states), regex.compile(pattern).findall
+        self.known = _Pieces(self.fst, max_pieces)
 
-    def encode(self, text: str) -> array:
-        ids, known = array("I"), self.known
-        for piece in self.find(text):
-            got = known.get(piece)
-            if got is None:
-                got = array("I", self.fst.encode(piece.encode("utf-8", "surrogatepass")))
-                if len(known) < self.max_pieces:
-                    known[piece] = got
-            ids += got
-        return ids
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        return b"".join(map(self.known.__getitem__, self.find(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
 
 class Utf8Stream:
@@ -230,12 +242,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, rows: int =
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                ids, off = array("I"), [0]
-                for text in part.column(1).to_pylist():
-                    ids += enc.encode(text or "")
-                    off.append(len(ids))
-                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)], ["doc_id", "ids"])
+                ids = [enc.encode_bytes(text or "") for text in part.column(1).to_pylist()]
+                off = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off), values)], ["doc_id", "ids"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -261,25 +271,16 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for b in batches:
             out = ([], [], [], [])
             for text in b.column(1).to_pylist():
-                ids = enc.encode(text or "")
-                sha, utf8, chars = hashlib.sha256(), Utf8Stream(), 0
+                raw = enc.encode_bytes(text or "")
+                ids, sha, utf8, chars = np.frombuffer(raw, "<u4").tolist(), hashlib.sha256(), Utf8Stream(), 0
                 for at in range(0, len(ids), 65536):
                     part = b"".join(map(get, ids[at:at + 65536]))
                     sha.update(part)
                     chars += len(utf8.feed(part))
                 chars += len(utf8.end())
-                for x, v in zip(out, (len(ids), hashlib.sha256(_little(ids)).hexdigest(), sha.hexdigest(), chars), strict=True):
+                for x, v in zip(out, (len(ids), hashlib.sha256(raw).hexdigest(), sha.hexdigest(), chars), strict=True):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2]), pa.array(out[3], pa.int64())],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
-
-def _little(ids: array) -> bytes:
-    import sys
-
-    assert ids.itemsize == 4
-    if sys.byteorder == "big":
-        ids = array("I", ids)
-        ids.byteswap()
-    return ids.tobytes()
