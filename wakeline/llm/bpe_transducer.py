@@ -259,17 +259,17 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 (bytes decoded from the ids),
-    decoded_chars (characters that the streaming decoder gave)."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
+    decoded_chars (characters that the streaming decoder gave) and, if wanted, the ids in those bytes."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long" + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         enc = _encoder(ranks_path, pattern)
-        table = {v: k for k, v in enc.fst.ranks.items()}
-        get = table.__getitem__
+        get = enc.fst.tokens.__getitem__
         for b in batches:
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for text in b.column(1).to_pylist():
                 raw = enc.encode_bytes(text or "")
                 ids, sha, utf8, chars = np.frombuffer(raw, "<u4").tolist(), hashlib.sha256(), Utf8Stream(), 0
@@ -278,9 +278,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     sha.update(part)
                     chars += len(utf8.feed(part))
                 chars += len(utf8.end())
-                for x, v in zip(out, (len(ids), hashlib.sha256(raw).hexdigest(), sha.hexdigest(), chars), strict=True):
+                for x, v in zip(out, (len(ids), hashlib.sha256(raw).hexdigest(), sha.hexdigest(), chars, raw if with_ids else None), strict=True):
                     x.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2]), pa.array(out[3], pa.int64())],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+            cols = [b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(cols[:len(names)], names)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 

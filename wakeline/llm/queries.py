@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe_transducer, imatch, language_id, quality_rules, source_mix, suffix_ranges, suffix_trees, token_files, warc_index
+from wakeline.llm import (
+    bpe_transducer,
+    imatch,
+    jaccard_join,
+    language_id,
+    quality_rules,
+    source_mix,
+    suffix_ranges,
+    suffix_trees,
+    token_files,
+    warc_index,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +123,8 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN k USING (doc_id)""")
 def op9(spark, sf):
     return suffix_trees.removal_report(_table(spark, sf, "documents"))
+
+
+@_query("op3_jaccard_join")
+def op3(spark, sf):
+    return jaccard_join.similarity_classes(_table(spark, sf, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
