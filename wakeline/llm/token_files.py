@@ -33,7 +33,7 @@ from wakeline.session import shared_folder
 MAGIC, VERSION, BLOCK = b"S8BT", 1, 1024
 PACKINGS = [(1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([c for c, _ in PACKINGS], np.int64)
-MAX_PIECES = 400_000     # pieces whose ids a worker remembers
+MAX_PIECES = 600_000     # pieces whose ids a worker remembers (about 200 bytes each)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -175,26 +175,28 @@ class _Pieces:
         self.find = regex.compile(pattern).findall
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[^\t-\r -~\xa0-ɏ]", *special])).search
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        if self.whole(text):
-            return self.tok.encode(text, add_special_tokens=False).ids
-        pieces, known = self.find(text), self.known
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        if not fresh:
-            found = known
-        else:
-            if len(known) + len(fresh) > MAX_PIECES:
-                found = {p: known[p] for p in pieces if p in known}
-            else:
-                found = known
-            for p, e in zip(fresh, self.tok.encode_batch(fresh, add_special_tokens=False), strict=True):
-                found[p] = e.ids
-        out: list[int] = []
-        for p in pieces:
-            out += found[p]
-        return out
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        cut = [None if self.whole(t) else self.find(t) for t in texts]
+        fresh = list(set().union(*(c for c in cut if c is not None)).difference(self.known))
+        found = self.known
+        if fresh:
+            made = {}
+            for at in range(0, len(fresh), 2048):
+                part = fresh[at:at + 2048]
+                made.update(zip(part, self._library(part), strict=True))
+            if len(self.known) + len(fresh) <= MAX_PIECES:
+                self.known.update(made)
+            else:                       # the memory is full: these pieces serve these texts only
+                made.update({p: self.known[p] for c in cut if c is not None for p in c if p in self.known})
+                found = made
+        get = found.__getitem__
+        return [self._library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def _pieces(path: str, pattern: str, _made={}) -> _Pieces:
@@ -218,7 +220,7 @@ def _put(folder: str, name: str, data: bytes) -> str:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str, end_id: int = 0,
-                      file_ids: int = 4_000_000, parts: int | None = None) -> DataFrame:
+                      file_ids: int = 2_000_000, parts: int | None = None) -> DataFrame:
     """Encode `docs` (doc_id, text), append `end_id` to each document and write files of about `file_ids` ids.
 
     Returns the manifest, durable: file (its place in the order), path, docs, ids. Partitions are ranges of doc_id from
@@ -238,24 +240,24 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder
 
         enc, part, k = _pieces(tokenizer_path, pattern), TaskContext.get().partitionId(), 0
         keys, lengths, held, n_held = [], [], [], 0
+        end = struct.pack("<I", end_id)
 
         def flush():
             name = f"part-{part:06d}-{k:04d}.s8b"
-            path = _put(folder, name, pack_file(keys, np.array(lengths, np.int64), np.concatenate(held)))
+            path = _put(folder, name, pack_file(keys, np.array(lengths, np.int64), np.frombuffer(b"".join(held), "<u4")))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([n_held], pa.int64())],
                                               ["file", "path", "docs", "ids"])
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text or "")
-                ids.append(end_id)
-                a = np.array(ids, np.uint32)
-                keys.append(key)
-                lengths.append(len(a))
-                held.append(a)
-                n_held += len(a)
-                if n_held >= file_ids:
-                    yield flush()
-                    keys, lengths, held, n_held, k = [], [], [], 0, k + 1
+            for at in range(0, b.num_rows, 128):
+                some = b.slice(at, 128)
+                for key, raw in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    keys.append(key)
+                    lengths.append(len(raw) // 4 + 1)
+                    held += (raw, end)
+                    n_held += lengths[-1]
+                    if n_held >= file_ids:
+                        yield flush()
+                        keys, lengths, held, n_held, k = [], [], [], 0, k + 1
         if keys:
             yield flush()
     return durable(rows.select("doc_id", "text").mapInArrow(run, "file string, path string, docs long, ids long"))
