@@ -218,7 +218,7 @@ def similarity_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     signed = durable(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "k1", "k2", "text").mapInArrow(
         _sign, "doc_id long, k1 long, k2 long, node binary, n int, sig binary"))
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.count(F.lit(1)).alias("docs"), F.coalesce(F.min("doc_id"), F.min("k1")).alias("least_id"), F.min("k1").alias("k1"), F.first("sig").alias("sig"))
+        F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least_id"), F.min("k1").alias("k1"), F.first("sig").alias("sig"))
     nodes = durable(nodes)
     # bands: buckets of one node end here, and so do buckets with the same members as another
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
@@ -240,9 +240,9 @@ def similarity_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     links = durable(units.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(_verify(need, threshold), "a binary, b binary, links long"))
     root = components(links)
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    facts = nodes.select("node", "docs", "least_id").join(root, "node", "left").join(counts, "node", "left")
+    facts = nodes.select("node", "docs", "least_id", "k1").join(root, "node", "left").join(counts, "node", "left")
     facts = facts.withColumn("root", F.coalesce("root", "node"))
-    least = facts.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    least = facts.groupBy("root").agg(F.coalesce(F.min("least_id"), F.min("k1")).alias("class_id"))
     facts = durable(facts.join(least, "root").select("node", "docs", "class_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links")))
     out = join_facts(signed.select("doc_id", "k1", "k2", "node", F.col("n").alias("n_shingles")), facts, "node", "docs", ["k1", "k2"])
     out = out.withColumn("class_id", F.coalesce("class_id", "k1")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))

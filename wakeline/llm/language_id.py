@@ -148,7 +148,7 @@ def fit(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS, rounds:
     shares = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(shares)
     if not langs:
-        return [], np.zeros((0, 0))
+        return [], np.zeros((3, 0))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = durable(labelled.withColumn("_place", first).filter(F.col("_place") <= train_docs).select("doc_id", "lang").distinct())
     sample = docs.filter(~held_out()).select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])   # at most train_docs x languages ids
