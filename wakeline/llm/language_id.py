@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model_path: str, langs: list[str], model: np.ndarra
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
                 docs_words = [_words(t or "", find) for t in part.column(2).to_pylist()]
-                fresh = list({w for ws in docs_words for w in ws if w not in known})
+                fresh = list({w for ws in docs_words for w in ws if w not in known}) if langs else []
                 place = known
                 base = len(known)
                 if fresh:
