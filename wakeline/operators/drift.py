@@ -288,12 +288,11 @@ def best_cell(grid: DataFrame) -> DataFrame:
         "incident_id", F.col("t.lat").alias("best_lat"), F.col("t.lon").alias("best_lon"), F.col("t.p").alias("best_prob"))
 
 
-def heatmap(grid: DataFrame, max_points: int = 2600, min_rel: float = 0.06) -> DataFrame:
-    """Cells at or above 6 % of the maximum; the 2600 strongest (a display limit of the feature, n*n cells per incident)."""
+def heatmap(grid: DataFrame, min_rel: float = 0.06) -> DataFrame:
+    """All cells at or above 6 % of the incident's maximum."""
     mx = grid.groupBy("incident_id").agg(F.max("prob").alias("_m")).filter("_m > 0")
     h = grid.join(broadcast_if_small(mx), "incident_id").withColumn("rel", F.col("prob") / F.col("_m")).filter(F.col("rel") >= min_rel)
-    rn = F.row_number().over(W.partitionBy("incident_id").orderBy(F.col("rel").desc(), "ri", "ci"))
-    return h.withColumn("_rn", rn).filter(F.col("_rn") <= max_points).select("incident_id", "ri", "ci", "lat", "lon", "rel")
+    return h.select("incident_id", "ri", "ci", "lat", "lon", "rel")
 
 
 def ellipse(origin: DataFrame, n_sigma: float = 2.0, n_points: int = 64) -> DataFrame:

@@ -189,12 +189,9 @@ def cloud_overlap(points: DataFrame, drift_pos: DataFrame, key: list[str], chunk
     return z.groupBy(*keys).agg((F.sum("s") / F.sum("_n")).alias("overlap"), F.min("d").alias("nearest"))
 
 
-def cloud_ceiling(drift_pos: DataFrame, sample: int = 160) -> DataFrame:
-    """Best kernel mean any single particle reaches per step; sample = lowest `sample` hashes of a step."""
-    ranked = drift_pos.withColumn("_h", F.xxhash64("incident_id", "particle_id")).withColumn(
-        "_rn", F.row_number().over(W.partitionBy("incident_id", "t_h").orderBy("_h", "particle_id")))
-    pts = ranked.filter(F.col("_rn") <= sample).select("incident_id", "t_h", "particle_id", "lat", "lon")
-    o = cloud_overlap(pts, drift_pos, ["particle_id"])
+def cloud_ceiling(drift_pos: DataFrame) -> DataFrame:
+    """Best kernel mean any single particle reaches per step; every particle is a candidate."""
+    o = cloud_overlap(drift_pos.select("incident_id", "t_h", "particle_id", "lat", "lon"), drift_pos, ["particle_id"])
     return o.groupBy("incident_id", "t_h").agg(F.greatest(F.max("overlap"), F.lit(1e-6)).alias("ceiling"))
 
 

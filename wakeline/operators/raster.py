@@ -434,14 +434,14 @@ def extent(region_px: DataFrame, scenes: DataFrame, n_bins: int = 18, min_px: in
     j = j.select(*REG, (F.col("_x") * F.col("ax") + F.col("_y") * F.col("ay")).alias("al"), (F.col("_y") * F.col("ax") - F.col("_x") * F.col("ay")).alias("ac"))
     lim = j.groupBy(*REG).agg(F.min("al").alias("a0"), F.max("al").alias("a1"))
     j = j.join(broadcast_if_small(lim), REG)
-    b = F.when(F.col("a1") > F.col("a0"), F.floor((F.col("al") - F.col("a0")) / F.when(F.col("a1") > F.col("a0"), F.col("a1") - F.col("a0")) * n_bins)).otherwise(0)
+    b = F.when(F.col("a1") > F.col("a0"), F.floor(F.round((F.col("al") - F.col("a0")) / F.when(F.col("a1") > F.col("a0"), F.col("a1") - F.col("a0")) * n_bins, 9))).otherwise(0)
     j = j.withColumn("bin", b.cast("int"))
     span = lambda keys: exact_quantiles(j.filter(F.col("bin") < n_bins) if "bin" in keys else j, keys, "ac", {"_p5": 0.05, "_p95": 0.95})
     n = j.groupBy(*REG, "bin").agg(F.count(F.lit(1)).alias("_n"))
     bins = span([*REG, "bin"]).join(n, [*REG, "bin"]).filter(F.col("_n") >= min_px)
     med = bins.groupBy(*REG).agg(F.median(F.col("_p95") - F.col("_p5")).alias("_w"))
     whole = span(REG).select(*REG, (F.col("_p95") - F.col("_p5")).alias("_w0"))
-    bearing = F.pmod(F.degrees(F.atan2("ax", "ay")) + 360.0, F.lit(180.0))
+    bearing = F.pmod(F.round(F.degrees(F.atan2("ax", "ay")) + 360.0, 6), F.lit(180.0))    # rounded first: an upright axis is 0, never 180
     return (ax.join(lim, REG).join(whole, REG).join(med, REG, "left")
             .select(*REG, (F.col("a1") - F.col("a0")).alias("length_m"), F.coalesce("_w", "_w0").alias("width_m"), bearing.alias("bearing_deg"),
                     F.col("lat0").alias("centroid_lat"), F.col("lon0").alias("centroid_lon")))

@@ -134,18 +134,28 @@ def zone_list(zones: DataFrame, allowed: DataFrame | None = None, with_geometry:
 
 
 def lookup(keys: DataFrame, rows: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
-    """Verdict per (scope_id, key): found, forbidden (exists but not visible) or missing. A row without coordinates
-    passes the point check."""
-    r = rows.select(key, F.lit(True).alias("_has"), (F.col("lat").isNull() | F.col("lon").isNull()).alias("_free"))
+    """Verdict per (scope_id, key): found, forbidden (exists but not visible) or missing. A row without coordinates is
+    visible by its zone only; `may_create` is the check of new rows."""
+    r = rows.select(key, F.lit(True).alias("_has"))
     s = seen.withColumn("_seen", F.lit(True))
     j = keys.join(r, key, "left").join(s, ["scope_id", key], "left")
-    return j.withColumn("verdict", chain([(F.col("_has").isNull(), "missing"), (F.col("_free") | F.col("_seen"), "found")],
-                                         "forbidden")).drop("_has", "_free", "_seen")
+    return j.withColumn("verdict", chain([(F.col("_has").isNull(), "missing"), (F.col("_seen"), "found")],
+                                         "forbidden")).drop("_has", "_seen")
 
 
-def page(rows: DataFrame, offset: int = 0, limit: int = 50, cap: int = 200, key: str = "id") -> DataFrame:
-    """Newest first; the page size is a report limit (200, anomalies 500)."""
-    return rows.orderBy(F.col(key).desc()).offset(offset).limit(min(limit, cap))
+def may_create(points: DataFrame, scope_closure: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+    """(scope_id, key) of new rows a scope may add: those without coordinates, and those whose point lies in its closure."""
+    scopes = scope_closure.select("scope_id").distinct()
+    free = points.filter(F.col("lat").isNull() | F.col("lon").isNull()).select(key)
+    inside = points_in_zones(points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(key, "lat", "lon"), edges)
+    near = inside.select(key, "zone_id").join(scope_closure, "zone_id").select("scope_id", key).distinct()
+    every = free.withColumn("scope_id", F.explode(F.array(*[F.lit(r["scope_id"]) for r in scopes.collect()]))).select("scope_id", key)    # scopes are zones of the catalogue
+    return near.unionByName(every)
+
+
+def page(rows: DataFrame, offset: int, limit: int, key: str = "id") -> DataFrame:
+    """Newest first; the page size is the report's own."""
+    return rows.orderBy(F.col(key).desc()).offset(offset).limit(limit)
 
 
 def is_land(points: DataFrame, land_edges: DataFrame, *, buffer_km: float = 0.0, cell_deg: float = 1.0, key: str = "id") -> DataFrame:

@@ -57,19 +57,17 @@ def sliced(df: DataFrame, keys: list[str], order: list[str], slc: str, *, carry=
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
-                    bins: int = 1024) -> DataFrame:
+                    bins: int = 64) -> DataFrame:
     """Exact linear-interpolated quantiles per key without holding a key's values in one buffer.
 
-    Equal values are first merged to counts (map-side), values fall into `bins` equal-width bins per key, a window over
-    the at most `bins` bin counts finds where each needed rank lies, and only those bins are ordered value by value.
+    Equal values are first merged to counts (map-side), values fall into `bins` bins per key between approximate quantiles of
+    the distinct values (so outliers do not empty the bins), a window over the at most `bins` bin counts finds where each
+    needed rank lies, and only those bins are ordered value by value.
     """
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_c")))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    binned = counted.join(span, keys).withColumn(
-        "_b", F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))).cast("int"))
+    span = counted.groupBy(*keys).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 20 * bins).alias("_edges"), F.sum("_c").alias("_n"))
+    binned = counted.join(span, keys).withColumn("_b", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
     wk = W.partitionBy(*keys).orderBy("_b")
     b = (binned.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
          .withColumn("_b0", F.coalesce(F.sum("_bc").over(wk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))

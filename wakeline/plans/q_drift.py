@@ -202,7 +202,7 @@ def g16_best_origin_cell(spark, sf):
   SELECT incident_id, count(*) AS points, {r('sum(rel)', 4)} AS total FROM (SELECT *, prob / max(prob) OVER (PARTITION BY incident_id) AS rel FROM ogrid
     QUALIFY rel >= 0.06) GROUP BY 1""".replace("QUALIFY rel >= 0.06", "QUALIFY prob / max(prob) OVER (PARTITION BY incident_id) >= 0.06"), "ogrid"))
 def g17_heat_map(spark, sf):
-    h = dr.heatmap(dr.origin_grid(origin_points(spark, sf)), max_points=140 * 140)
+    h = dr.heatmap(dr.origin_grid(origin_points(spark, sf)))
     return h.groupBy("incident_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("rel"), 4).alias("total"))
 
 
@@ -307,8 +307,7 @@ def j10_cloud_volume_match(spark, sf):
   SELECT incident_id, t_h, {r('max(m)')} AS ceiling FROM (SELECT a.incident_id, a.t_h, a.p, avg(exp(-0.5 * pow({km('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 7e0, 2))) AS m
     FROM dback a JOIN dback b ON a.incident_id = b.incident_id AND a.t_h = b.t_h GROUP BY 1, 2, 3) GROUP BY 1, 2""", "dback"))
 def g7_cloud_ceiling(spark, sf):
-    # every particle is its own candidate here, so that SQL can check the kernel; the default samples 160
-    return ev.cloud_ceiling(fx.drift_back(spark, sf), sample=1_000_000).select("incident_id", "t_h", rd("ceiling"))
+    return ev.cloud_ceiling(fx.drift_back(spark, sf)).select("incident_id", "t_h", rd("ceiling"))
 
 
 @query("g6_cloud_space_time_score")

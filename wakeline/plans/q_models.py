@@ -207,7 +207,7 @@ def x3_dark_vessel_timer(spark, sf):
 
 @query("x4_alert_cooldown")
 def x4_alert_cooldown(spark, sf):
-    a = fx.alerts(spark, sf).select("alert_id", "t_us", "lat", "lon", "force", "outcome")
+    a = fx.alerts(spark, sf).select("alert_id", "t_us", F.timestamp_micros("t_us").alias("ts"), "lat", "lon", "force", "outcome")
     return drain(live.alert_cooldown(replay(spark, a, "t_us")))
 
 
@@ -232,7 +232,7 @@ def x6_late_rows(spark, sf):
     t = fx.tracks(spark, sf).select("mmsi", "t_us", F.timestamp_micros("t_us").alias("ts")).withColumn(
         "arrival", F.col("t_us") + F.when(F.col("t_us") % 10 == 0, F.lit(6 * 3_600_000_000)).otherwise(0))
     base = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
-    w = live.split_late(replay(spark, t, "arrival"), base + "/ok", base + "/late")
+    w = live.split_late(replay(spark, t, "arrival"), base + "/ok", base + "/late", base + "/progress")
     w.option("checkpointLocation", base + "/state").trigger(availableNow=True).start().awaitTermination()
     rd_ = lambda n: spark.read.schema(t.schema).parquet(f"{base}/{n}").withColumn("table", F.lit(n))
     return rd_("ok").unionByName(rd_("late")).groupBy("table").agg(F.count(F.lit(1)).alias("n"))

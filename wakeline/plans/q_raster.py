@@ -273,9 +273,9 @@ cte("ral", "SELECT r.scene_id, r.region_id, x * cos(an) + y * sin(an) AS al, y *
 
 
 @query("r12_oriented_extent", q(f"""
-  SELECT scene_id, region_id, {r('any_value(a1 - a0)', 3)} AS length_m, {r('median(w) FILTER (n >= 15)', 3)} AS width_m, {r(pmod('degrees(atan2(cos(any_value(an)), sin(any_value(an)))) + 360e0', 180.0), 3)} AS bearing_deg FROM (
+  SELECT scene_id, region_id, {r('any_value(a1 - a0)', 3)} AS length_m, {r('median(w) FILTER (n >= 15)', 3)} AS width_m, {r(pmod('round(degrees(atan2(cos(any_value(an)), sin(any_value(an)))) + 360e0, 6)', 180.0), 3)} AS bearing_deg FROM (
     SELECT scene_id, region_id, bin, count(*) AS n, quantile_cont(ac, 0.95) - quantile_cont(ac, 0.05) AS w, any_value(a0) AS a0, any_value(a1) AS a1, any_value(an) AS an FROM (
-      SELECT *, CAST(floor((al - a0) / (a1 - a0) * 18) AS INTEGER) AS bin FROM (SELECT *, min(al) OVER w AS a0, max(al) OVER w AS a1 FROM ral WINDOW w AS (PARTITION BY scene_id, region_id)))
+      SELECT *, CAST(floor(round((al - a0) / (a1 - a0) * 18, 9)) AS INTEGER) AS bin FROM (SELECT *, min(al) OVER w AS a0, max(al) OVER w AS a1 FROM ral WINDOW w AS (PARTITION BY scene_id, region_id)))
     GROUP BY 1, 2, 3) GROUP BY 1, 2""".replace("median(w) FILTER (n >= 15)", "median(w) FILTER (n >= 15 AND bin < 18)"), "ral"))
 def r12_oriented_extent(spark, sf):
     e = ra.extent(fx.blocks(spark, sf), fx.scenes(spark, sf), min_px=15)

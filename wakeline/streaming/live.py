@@ -51,27 +51,37 @@ def dark_vessels(pings: DataFrame, minutes: float = C.GAP_FLAG_MIN, watermark: s
         step, "mmsi long, start_us long, end_us long, kind string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alert_cooldown(alerts: DataFrame, minutes: int = C.COOLDOWN_MIN, grid: float = C.DEDUP_GRID_DEG) -> DataFrame:
-    """Suppression per grid cell: an alert within the cooldown of the cell's last live one is suppressed and does not
-    extend the cooldown. Neighbouring cells are not compared (the batch operator does that)."""
+def alert_cooldown(alerts: DataFrame, minutes: int = C.COOLDOWN_MIN, grid: float = C.DEDUP_GRID_DEG, watermark: str = "1 hour") -> DataFrame:
+    """Suppression per grid cell: an alert within the cooldown after the cell's last live one is suppressed and does not
+    extend the cooldown. A late alert is not suppressed by a later one and does not set the cooldown back. The state of a
+    cell is one alert and is dropped when the watermark passes its cooldown. Neighbouring cells are the batch operator's."""
     us = minutes * 60_000_000
 
     def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_t, last_id = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["t_us", "alert_id"])
-        out = []
-        for a in rows.itertuples():
-            dup = last_t is not None and a.t_us - last_t <= us and not a.force
-            out.append((a.alert_id, "SUPPRESSED" if dup else a.outcome, last_id if dup else None))
-            if not dup and a.outcome in LIVE:
-                last_t, last_id = int(a.t_us), int(a.alert_id)
-        state.update((last_t, last_id))
-        d = pd.DataFrame(out, columns=["alert_id", "status", "dedup_of_id"])
-        d["dedup_of_id"] = d["dedup_of_id"].astype("Int64")
-        yield d
-    a = alerts.withColumn("_cy", F.rint(F.col("lat") / grid)).withColumn("_cx", F.rint(F.col("lon") / grid))
+        for b in batches:       # Arrow batches of the cell, one after the other
+            b = b.sort_values(["t_us", "alert_id"])
+            ids, times = b["alert_id"].to_numpy(), b["t_us"].to_numpy()
+            force, outcome = b["force"].to_numpy(), b["outcome"].to_numpy()
+            dup_of, status = [None] * len(ids), list(outcome)
+            for i in range(len(ids)):
+                if last_t is not None and 0 <= times[i] - last_t <= us and not force[i]:
+                    dup_of[i], status[i] = last_id, "SUPPRESSED"
+                elif outcome[i] in LIVE and (last_t is None or times[i] >= last_t):
+                    last_t, last_id = int(times[i]), int(ids[i])
+            d = pd.DataFrame({"alert_id": ids, "status": status})
+            d["dedup_of_id"] = pd.array(dup_of, dtype="Int64")
+            yield d
+        if last_t is not None:
+            state.update((last_t, last_id))
+            state.setTimeoutTimestamp(max((last_t + us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    a = alerts.withWatermark("ts", watermark).select("alert_id", "ts", F.unix_micros("ts").alias("t_us"), "force", "outcome",
+                                                     F.rint(F.col("lat") / grid).alias("_cy"), F.rint(F.col("lon") / grid).alias("_cx"))
     return a.groupBy("_cy", "_cx").applyInPandasWithState(
-        step, "alert_id long, status string, dedup_of_id long", "t long, id long", "append", GroupStateTimeout.NoTimeout)
+        step, "alert_id long, status string, dedup_of_id long", "t long, id long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bucket_counts(alerts: DataFrame, size: str = "60 minutes", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
@@ -80,21 +90,22 @@ def bucket_counts(alerts: DataFrame, size: str = "60 minutes", slide: str | None
     return alerts.withWatermark("ts", watermark).groupBy(win, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def split_late(rows: DataFrame, on_time_path: str, late_path: str, delay_min: float = 60.0):
+def split_late(rows: DataFrame, on_time_path: str, late_path: str, progress_path: str, delay_min: float = 60.0):
     """foreachBatch writer: rows older than the running maximum (of earlier batches) minus the delay go to a side table.
-    The maximum is one number kept between batches."""
-    seen = {"max": None}
+
+    The maximum of each batch is a row under `progress_path`, so a restart goes on where it was; each batch writes its own
+    `epoch=` folder and overwrites it, so a repeated batch leaves its rows once.
+    """
+    schema = "top long, epoch long"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        limit = None if seen["max"] is None else seen["max"] - int(delay_min * 60_000_000)
-        late = F.lit(False) if limit is None else F.unix_micros("ts") < limit
-        tagged = batch.withColumn("_late", late).persist()
-        tagged.filter("not _late").drop("_late").write.mode("append").parquet(on_time_path)
-        tagged.filter("_late").drop("_late").write.mode("append").parquet(late_path)
-        top = tagged.agg(F.max(F.unix_micros("ts"))).first()[0]
+        spark = batch.sparkSession
+        tagged = batch.persist()
+        top = tagged.agg(F.max(F.unix_micros("ts")).alias("top"))
+        top.write.mode("overwrite").parquet(f"{progress_path}/epoch={epoch}")
+        seen = spark.read.schema(schema).parquet(progress_path).filter(F.col("epoch") < epoch).agg(F.max("top")).first()[0]
+        late = F.lit(False) if seen is None else F.unix_micros("ts") < seen - int(delay_min * 60_000_000)
+        tagged.filter(~late).write.mode("overwrite").parquet(f"{on_time_path}/epoch={epoch}")
+        tagged.filter(late).write.mode("overwrite").parquet(f"{late_path}/epoch={epoch}")
         tagged.unpersist()
-        if top is not None:
-            seen["max"] = top if seen["max"] is None else max(seen["max"], top)
     return rows.writeStream.foreachBatch(write)
-
-
