@@ -1,7 +1,7 @@
 """WARC archives with revisit records, and one capture index merged from the archives' own sorted runs.
 
 Tasks write archives (a gzip member per record, files of bounded size) and, for each file, a run of index rows sorted by URL
-key, timestamp and capture id. Sampled splitters cut the key space into buckets of bounded size; in each bucket a loser tree
+key, timestamp and capture id. Sampled splitters cut the key space into even buckets; in each bucket a loser tree
 merges the slices of all runs; bucket after bucket, the captures are globally ordered, so a URL's history is contiguous.
 
 A payload of MIN_REVISIT bytes or more that several captures share is stored with the smallest id; the others are revisits that
@@ -27,7 +27,7 @@ from wakeline.session import shared_folder
 
 MIN_REVISIT = 100        # bytes from which a payload is stored once
 FILE_BYTES = 32 << 20    # an archive is closed beyond it
-BUCKET_ROWS = 20_000     # captures merged at once
+BUCKET_ROWS = 20_000     # captures merged at once, where there are shuffle partitions enough
 SAMPLES = 64             # sampled keys a bucket, of which one becomes a splitter
 
 RUN = "urlkey string, ts long, id long, file string, offset long, length long, run string, pos long"
@@ -148,10 +148,10 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
 def merge_runs(runs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The runs as one index in global order of (urlkey, ts, id): adds bucket and place (position inside the bucket)."""
     total = runs.count()
-    n_buckets = max(1, -(-total // bucket_rows))
+    n_buckets = max(1, min(-(-total // bucket_rows), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     step = max(1, total // (SAMPLES * n_buckets))
     cut = []
-    if n_buckets > 1:       # about SAMPLES keys a bucket, a number set by BUCKET_ROWS and not by the length of the rows
+    if n_buckets > 1:       # about SAMPLES keys a bucket, and no more buckets than shuffle partitions
         keys = runs.filter(F.pmod(F.xxhash64("urlkey", "ts", "id", "file", "offset"), F.lit(step)) == 0).select("urlkey", "ts", "id").collect()
         keys = sorted((r[0], r[1], r[2] is None, r[2] or 0) for r in keys)
         cut = [keys[len(keys) * i // n_buckets] for i in range(1, n_buckets)] if keys else []
