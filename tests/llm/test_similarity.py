@@ -36,8 +36,9 @@ def brute_classes(rows):
     return [(sets[a][0], least[find(a)], links[a]) for a in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_classes_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block,small", [(512, 64), (16, 64), (512, 2)])
+def test_classes_equal_brute_force(spark, block, small, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
     for df in (awkward(spark), with_hot_groups(spark, 40)):
         rows = [(r.doc_id, r.text) for r in df.collect()]
         want = sorted((x for x in brute_classes(rows) if x[0] is not None), key=str)

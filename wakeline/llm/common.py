@@ -110,6 +110,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
 def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (left, right) row numbers, left before right, inside consecutive groups."""
     n = int(sizes.sum())
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.repeat(starts + sizes, sizes)
     rows = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(n)
     counts = ends - rows - 1

@@ -33,7 +33,8 @@ THRESHOLD = (4, 5)       # similarity, as a fraction
 BANDS, ROWS, STEP = 32, 4, 16
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-9
-BLOCK = 512
+BLOCK = 512              # nodes of a block where all pairs are verified; four times as many while pruning
+SMALL = 64               # units whose pairs are all compared while pruning
 _MUL = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mixed(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64))
 
@@ -125,7 +126,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unit_pairs(t: pa.Table):
-    """Candidate pairs of a table of whole units: all rows of a block, or rows of its two blocks."""
+    """Pairs of a table of whole units: all rows of a block, or rows of its two blocks."""
     unit = [t.column(c).combine_chunks().to_numpy() for c in ("unit", "i", "j")]
     block = t.column("block").combine_chunks().to_numpy()
     start = group_bounds(*unit)
@@ -142,13 +143,33 @@ def _units(members: DataFrame, unit: str, size: str, block: int) -> DataFrame:
     return m.withColumn("unit", F.xxhash64(unit)).withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_nb", "_o")
 
 
+def _star(sig: np.ndarray, first: int, end: int, need: list[int]):
+    """Surviving pairs that connect a large unit as all of them would: the first row against all, then only the rows that it
+    did not reach against all (near copies need about one comparison each)."""
+    rows = np.arange(first, end)
+    a, b = _survivors(sig, np.full(len(rows) - 1, first), rows[1:], need)
+    left, right = [a], [b]
+    rest = np.setdiff1d(rows[1:], b, assume_unique=True)
+    for at in range(0, len(rest), 64):
+        some = rest[at:at + 64]
+        x, y = np.repeat(some, len(rows)), np.tile(rows, len(some))
+        other = x != y
+        a, b = _survivors(sig, x[other], y[other], need)
+        left.append(a)
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _prune(need: list[int]):
     """Candidate pairs of each unit compared step by step; a spanning forest of the survivors comes out."""
     def run(batches):
         for t in whole_groups(batches, ["unit", "i", "j"], 2048):
-            left, right = _unit_pairs(t)
-            sig = _unpack_sig(t.column("sig"))
-            a, b = _survivors(sig, left, right, need)
+            start = group_bounds(*(t.column(c).combine_chunks().to_numpy() for c in ("unit", "i", "j")))
+            sig, size = _unpack_sig(t.column("sig")), np.diff(start)
+            few = size <= SMALL
+            found = [_survivors(sig, *pairs_within(start[:-1][few], size[few]), need)]
+            found += [_star(sig, int(s), int(s + n), need) for s, n in zip(start[:-1][~few], size[~few], strict=True)]
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             lab = _labels(t.num_rows, a, b)
             rows = np.flatnonzero(lab != np.arange(len(lab)))
             if len(rows):
@@ -226,7 +247,7 @@ def similarity_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("size > 1")
     buckets = durable(buckets.groupBy("size", "x").agg(F.min("bucket").alias("bucket")))
     members = banded.join(buckets.select("bucket", "size"), "bucket").join(nodes.select("node", "sig"), "node")
-    units = _units(members, "bucket", "size", block).select("unit", "i", "j", "block", "node", "sig")
+    units = _units(members, "bucket", "size", 4 * block).select("unit", "i", "j", "block", "node", "sig")
     near = units.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(_prune(need), "a binary, b binary")
     comp = durable(components(near).withColumnRenamed("root", "comp"))
     # one fetch of the texts whose nodes have a candidate, then exact similarity inside the components
