@@ -205,9 +205,18 @@ def x3_dark_vessel_timer(spark, sf):
     return closed.select("mmsi", (F.col("start_us") - fx.EPOCH_US).alias("start_us"), (F.col("end_us") - fx.EPOCH_US).alias("end_us"))
 
 
-@query("x4_alert_cooldown")
+@query("x4_alert_cooldown", q("""
+  , al0 AS (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY t_us, alert_id) AS n FROM (
+    SELECT alert_id, t_us, force, outcome, round_even(lat / 5e-2, 0) AS cy, round_even(lon / 5e-2, 0) AS cx FROM alert)),
+  walk AS (SELECT cy, cx, n, alert_id, outcome AS status, NULL::BIGINT AS dup, CASE WHEN outcome <> 'FAILED' THEN t_us END AS last_t,
+      CASE WHEN outcome <> 'FAILED' THEN alert_id END AS last_id FROM al0 WHERE n = 1
+    UNION ALL SELECT cy, cx, n, alert_id, CASE WHEN d THEN 'SUPPRESSED' ELSE outcome END, CASE WHEN d THEN last_id END,
+      CASE WHEN NOT d AND outcome <> 'FAILED' THEN t_us ELSE last_t END, CASE WHEN NOT d AND outcome <> 'FAILED' THEN alert_id ELSE last_id END
+    FROM (SELECT a.*, w.last_t, w.last_id, coalesce(a.t_us - w.last_t <= 10800000000, false) AND NOT a.force AS d
+      FROM walk w JOIN al0 a ON a.cy = w.cy AND a.cx = w.cx AND a.n = w.n + 1))
+  SELECT alert_id, status, dup AS dedup_of_id FROM walk""", "alert"))
 def x4_alert_cooldown(spark, sf):
-    a = fx.alerts(spark, sf).select("alert_id", "t_us", F.timestamp_micros("t_us").alias("ts"), "lat", "lon", "force", "outcome")
+    a = fx.alerts(spark, sf).select("alert_id", "t_us", F.timestamp_micros(F.col("t_us") + F.lit(fx.EPOCH_US)).alias("ts"), "lat", "lon", "force", "outcome")
     return drain(live.alert_cooldown(replay(spark, a, "t_us")))
 
 

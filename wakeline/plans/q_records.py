@@ -271,6 +271,17 @@ def s11_evidence_document(spark, sf):
     return rec.dossier(c, rec.emit_anomalies(c, rk), l, rk, zones=ch, top=8)
 
 
+@query("s11_document_entries", q("""
+  SELECT case_id, section, count(*) AS n FROM (SELECT id AS case_id, 'case' AS section FROM kase
+    UNION ALL SELECT k.id, 'candidates' FROM kase k JOIN ranked USING (incident_id) UNION ALL SELECT case_id, 'anomalies' FROM anom
+    UNION ALL SELECT alert_id % (SELECT count(*) FROM kase), 'alerts' FROM alert) GROUP BY 1, 2""", "kase", "ranked", "anom", "alert"))
+def s11_document_entries(spark, sf):
+    """Entries of each section of the evidence documents, counted in the JSON itself."""
+    d = s11_evidence_document(spark, sf)
+    entries = F.when(F.col("section") == "case", F.lit(1)).otherwise(F.json_array_length("document"))
+    return d.groupBy("case_id", "section").agg(F.sum(entries).alias("n"))
+
+
 @query("s14_trim_stage_results", q("""
   SELECT incident_id, least(count(*), 8) AS n_candidates, min(score) FILTER (rank <= 8) AS last_score FROM ranked GROUP BY 1""", "ranked"))
 def s14_trim_stage_results(spark, sf):
