@@ -51,14 +51,13 @@ def seed_centroid(incidents: DataFrame, n: int = C.N_PARTICLES, seed: int = 7) -
 
 def seed_polygon(rings: DataFrame, n: int = C.N_PARTICLES, seed: int = 7, tries: int = 64) -> DataFrame:
     """Uniform points in a ring. `rings` (incident_id, ring array<struct<lon,lat>>): the first of `tries` hashed points
-    that falls inside; a ring so thin that none does falls back to its mean vertex."""
+    that falls inside; in a ring so thin that none does, a hashed point of its outline."""
     lo = lambda c, f: F.aggregate(F.col("ring"), F.element_at("ring", 1)[c], lambda a, p: f(a, p[c]))
     r = rings.withColumn("_w", lo("lon", F.least)).withColumn("_e", lo("lon", F.greatest)).withColumn(
         "_s", lo("lat", F.least)).withColumn("_n", lo("lat", F.greatest))
-    mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[c]) / F.size("ring")
     edge = F.zip_with("ring", F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1)),
                       lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")))
-    r = r.withColumn("_edges", edge).withColumn("_ml", mean("lat")).withColumn("_mo", mean("lon"))
+    r = r.withColumn("_edges", edge)
     p = r.withColumn("particle_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
     def draw(i):
@@ -72,8 +71,31 @@ def seed_polygon(rings: DataFrame, n: int = C.N_PARTICLES, seed: int = 7, tries:
             e["y2"] != e["y1"], e["y2"] - e["y1"]) + e["x1"])
         return F.size(F.filter("_edges", lambda e: F.coalesce(cross(e), F.lit(False)))) % 2 == 1
     got = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(tries)), draw), inside), F.lit(0))
-    return p.withColumn("_q", got).select(*PKEY, F.coalesce("_q.lat", "_ml").alias("lat"), F.coalesce("_q.lon", "_mo").alias("lon"),
-                                          F.lit(1.0 / n).alias("weight"))
+    on = F.element_at("_edges", (F.floor(uniform("incident_id", "particle_id", F.lit(seed), F.lit("e")) * F.size("_edges")) + 1).cast("int"))
+    u = uniform("incident_id", "particle_id", F.lit(seed), F.lit("u"))
+    thin = F.struct((on["x1"] + u * (on["x2"] - on["x1"])).alias("lon"), (on["y1"] + u * (on["y2"] - on["y1"])).alias("lat"))
+    return p.withColumn("_q", F.coalesce(got, thin)).select(*PKEY, "_q.lat", "_q.lon", F.lit(1.0 / n).alias("weight"))
+
+
+def choose_seeds(incidents: DataFrame, *, mask: DataFrame | None = None, scenes: DataFrame | None = None, rings: DataFrame | None = None,
+                 n: int = C.N_PARTICLES, seed: int = 7) -> DataFrame:
+    """Seeds of every incident from the best it has: mask pixels (with `scenes`), else a ring, else its centroid. Adds `seed_kind`."""
+    left, parts = incidents, []
+    for kind, rows, make in (("mask", mask, lambda r: seed_mask(r, scenes, n, seed)), ("polygon", rings, lambda r: seed_polygon(r, n, seed))):
+        if rows is not None:
+            parts.append(make(rows.join(left.select("incident_id"), "incident_id", "left_semi")).withColumn("seed_kind", F.lit(kind)))
+            left = left.join(rows.select("incident_id").distinct(), "incident_id", "left_anti")
+    out = seed_centroid(left, n, seed).withColumn("seed_kind", F.lit("centroid"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def require_fields(incidents: DataFrame, cells: DataFrame) -> None:
+    """Raise if an incident's field is not there, instead of losing the incident."""
+    missing = incidents.select("incident_id", "field_id").join(cells.select("field_id").distinct(), "field_id", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"no field for incidents {[r['incident_id'] for r in missing]}")
 
 
 def seed_mask(pixels: DataFrame, scenes: DataFrame, n: int = C.N_PARTICLES, seed: int = 7, bins: int = 4096) -> DataFrame:
@@ -389,10 +411,12 @@ def centroid_path(frames: DataFrame) -> DataFrame:
 
 # -- assemblies -------------------------------------------------------------------------------------------------------
 def hindcast(incidents: DataFrame, cells: DataFrame, *, n: int = C.N_PARTICLES, seed: int = 7, land: DataFrame | None = None,
-             seeds: DataFrame | None = None, record_every: int = 3) -> dict[str, DataFrame]:
+             mask: DataFrame | None = None, scenes: DataFrame | None = None, rings: DataFrame | None = None,
+             record_every: int = 3) -> dict[str, DataFrame]:
     """Back-track every incident: particle table, origins, density, and one summary row per incident."""
+    require_fields(incidents, cells)
     inc = release_window(incidents)
-    s = seeds if seeds is not None else seed_centroid(inc, n, seed)
+    s = choose_seeds(inc, mask=mask, scenes=scenes, rings=rings, n=n, seed=seed).drop("seed_kind")
     pos = durable(advect(s, inc, cells, hours=-C.MAX_BACKTRACK_H, record_every=record_every, seed=seed, land=land))
     org = durable(origins(pos, age_ramp(s, inc)).join(s.select(*PKEY, "weight"), PKEY))
     grid = origin_grid(org)
@@ -405,6 +429,7 @@ def hindcast(incidents: DataFrame, cells: DataFrame, *, n: int = C.N_PARTICLES,
 def forecast(incidents: DataFrame, cells: DataFrame, *, n: int = C.N_PARTICLES, seed: int = 11, land: DataFrame | None = None,
              horizons=C.HORIZONS_H, record_every: int = 2) -> dict[str, DataFrame]:
     """Drift every incident forward and describe the cloud at each horizon."""
+    require_fields(incidents, cells)
     s = seed_centroid(incidents, n, seed)
     pos = durable(advect(s, incidents, cells, hours=max(horizons), record_every=record_every, seed=seed, land=land))
     beach = beach_time(pos)

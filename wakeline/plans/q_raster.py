@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
+from wakeline.operators import drift as dr
 from wakeline.operators import raster as ra
 from wakeline.operators import scope as sc
 from wakeline.plans import fixtures as fx
@@ -350,3 +351,22 @@ def p18_observed_slick(spark, sf):
 @query("l2_detection_order", q("SELECT scene_id, region_id, label, p AS probability FROM lab2", "lab2"))
 def l2_detection_order(spark, sf):
     return ra.order_detections(labelled(spark, sf)).select("scene_id", "region_id", "label", "probability")
+
+
+# -- seeds from masks, rings and centroids ----------------------------------------------------------------------------
+@query("d1_seed_priority", q("""
+  SELECT incident_id, CASE WHEN incident_id % 3 = 0 AND EXISTS (SELECT 1 FROM px WHERE px.scene_id = i.incident_id AND db < -123e-1) THEN 'mask'
+    WHEN incident_id % 3 <= 1 THEN 'polygon' ELSE 'centroid' END AS seed_kind, 900::BIGINT AS n, 1e0 AS weight, true AS inside FROM incident i""", "incident", "px"))
+def d1_seed_priority(spark, sf):
+    """A mask beats a polygon beats a centroid; every particle lies in its mask's scene or in its ring."""
+    i = fx.drift_incidents(spark, sf)
+    sc_ = fx.scenes(spark, sf).withColumnRenamed("scene_id", "incident_id")
+    mask = fx.dark_pixels(spark, sf).filter("scene_id % 3 = 0").select(F.col("scene_id").alias("incident_id"), "row", "col", F.lit(1.0).alias("contrast"))
+    la, lo, d = F.col("centroid_lat"), F.col("centroid_lon"), 0.02
+    ring = F.array(*[F.struct((lo + x).alias("lon"), (la + y).alias("lat")) for x, y in ((-d, -d), (d, -d), (d, d), (-d, d))])
+    s = dr.choose_seeds(i, mask=mask, scenes=sc_, rings=i.filter("incident_id % 3 <= 1").select("incident_id", ring.alias("ring")))
+    s = s.join(i.select("incident_id", "centroid_lat", "centroid_lon"), "incident_id").join(sc_.select("incident_id", "w", "e", "s", "n"), "incident_id", "left")
+    px = 0.001      # a pixel's jitter may leave the scene by half a pixel
+    inside = F.when(F.col("seed_kind") == "mask", F.col("lat").between(F.col("s") - px, F.col("n") + px) & F.col("lon").between(F.col("w") - px, F.col("e") + px)).when(
+        F.col("seed_kind") == "polygon", F.col("lat").between(la - d, la + d) & F.col("lon").between(lo - d, lo + d)).otherwise(True)
+    return s.groupBy("incident_id", "seed_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.bool_and(inside).alias("inside"))
