@@ -278,7 +278,7 @@ def beach_time(drift_pos: DataFrame) -> DataFrame:
 # -- origin field -----------------------------------------------------------------------------------------------------
 def origin_grid(origin: DataFrame, n: int = C.ORIGIN_GRID, pad_km: float = C.ORIGIN_PAD_KM, sigma: float = C.ORIGIN_SMOOTH) -> DataFrame:
     """Release probability on an n x n grid: weighted 2-D counts, separable Gaussian, share of the total.
-    Counts aggregate map-side; smoothing touches at most n*n cells per incident."""
+    Counts aggregate map-side; smoothing is one matrix of at most n*n cells per incident."""
     box = origin.groupBy("incident_id").agg(F.min("lon").alias("_w"), F.min("lat").alias("_s"), F.max("lon").alias("_e"), F.max("lat").alias("_n"))
     w, s, e, nn = geo.bbox_expand_km("_w", "_s", "_e", "_n", pad_km)
     box = box.select("incident_id", w.alias("w"), s.alias("s"), e.alias("e"), nn.alias("n"))
@@ -288,14 +288,16 @@ def origin_grid(origin: DataFrame, n: int = C.ORIGIN_GRID, pad_km: float = C.ORI
     radius = int(4.0 * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     k = k / k.sum()
-    taps = F.array(*[F.struct(F.lit(int(d)).alias("d"), F.lit(float(x)).alias("k")) for d, x in zip(range(-radius, radius + 1), k)])
-
-    def blur(df, axis):
-        other = "ci" if axis == "ri" else "ri"
-        t = df.withColumn("_t", F.explode(taps)).withColumn(axis, F.col(axis) + F.col("_t.d"))
-        t = t.filter(F.col(axis).between(0, n - 1))
-        return t.groupBy("incident_id", axis, other).agg(F.sum(F.col("v") * F.col("_t.k")).alias("v"))
-    sm = durable(blur(blur(acc, "ri"), "ci"))
+
+    def blur(cells: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((n + 2 * radius, n + 2 * radius))
+        g[cells["ri"].to_numpy() + radius, cells["ci"].to_numpy() + radius] = cells["v"].to_numpy()
+        rows = sum(k[d] * g[d:d + n, :] for d in range(2 * radius + 1))
+        out = sum(k[d] * rows[:, d:d + n] for d in range(2 * radius + 1))
+        ri, ci = np.nonzero(out)
+        return pd.DataFrame({"incident_id": cells["incident_id"].iloc[0], "ri": ri.astype(np.int32), "ci": ci.astype(np.int32), "v": out[ri, ci]})
+    # a group is one incident's grid: at most n * n cells, whatever the number of particles
+    sm = durable(acc.groupBy("incident_id").applyInPandas(blur, "incident_id long, ri int, ci int, v double"))
     tot = sm.groupBy("incident_id").agg(F.sum("v").alias("_tot"))
     g = sm.join(broadcast_if_small(tot), "incident_id").join(broadcast_if_small(box), "incident_id")
     return g.select("incident_id", "ri", "ci", (F.col("v") / F.when(F.col("_tot") > 0, F.col("_tot"))).alias("prob"),
