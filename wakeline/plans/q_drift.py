@@ -16,7 +16,8 @@ from wakeline.plans.q_evidence import PAIR, pairs
 from wakeline.plans.registry import query, rd
 from wakeline.plans.sqltext import cte, km, m_lat, m_lon, pmod, q, r
 
-N_TEST = 100                       # particles per incident in the registered drift runs (a run parameter)
+N_TEST = dr.C.N_PARTICLES          # particles per incident in the registered drift runs
+N_FEEDBACK = 100                    # in the feedback run, which back-tracks every incident three times (a run parameter)
 
 cte("part0", "SELECT o_custkey // 15 AS incident_id, o_orderkey AS p, i.origin_lat AS olat, i.origin_lon AS olon FROM orders JOIN incident i ON i.incident_id = o_custkey // 15", "incident")
 cte("dback", """SELECT incident_id, p, t_h, olat + (p % 9 - 4) * 4e-3 * t_h + (p % 11 - 5) * 1e-2 AS lat,
@@ -334,29 +335,29 @@ def d1_seed_particles(spark, sf):
 @query("d3_particle_drift")
 def d3_particle_drift(spark, sf):
     i = fx.drift_incidents(spark, sf)
-    return dr.advect(dr.seed_centroid(i, N_TEST), i, fx.fields(spark, sf), hours=-48.0, record_every=12, seed=7, land=fx.land_edges(spark))
+    return dr.advect(dr.seed_centroid(i, N_TEST), i, fx.fields(spark, sf), hours=-48.0, record_every=48, seed=7, land=fx.land_edges(spark))
 
 
 @query("d5_hindcast")
 def d5_hindcast(spark, sf):
-    return dr.hindcast(fx.drift_incidents(spark, sf), fx.fields(spark, sf), n=N_TEST, record_every=6)["summary"]
+    return dr.hindcast(fx.drift_incidents(spark, sf), fx.fields(spark, sf), n=N_TEST)["summary"]
 
 
 @query("d6_forecast")
 def d6_forecast(spark, sf):
-    f = dr.forecast(fx.drift_incidents(spark, sf), fx.fields(spark, sf), n=N_TEST, land=fx.land_edges(spark), record_every=6)
+    f = dr.forecast(fx.drift_incidents(spark, sf), fx.fields(spark, sf), n=N_TEST, land=fx.land_edges(spark))
     return f["snapshot"].join(f["coast"].drop("fraction_beached"), "incident_id")
 
 
 @query("d9_joint_drift")
 def d9_joint_drift(spark, sf):
-    h, f = dr.analyse(fx.drift_incidents(spark, sf), fx.fields(spark, sf), n=N_TEST, record_every=6)
+    h, f = dr.analyse(fx.drift_incidents(spark, sf), fx.fields(spark, sf), n=N_TEST)
     return h["summary"].select("incident_id", "best_lat", "best_lon", "spread_km").join(f["snapshot"], "incident_id")
 
 
 @query("d7_release_time_feedback")
 def d7_release_time_feedback(spark, sf):
-    log, _final = dr.refine(fx.drift_incidents(spark, sf), fx.fields(spark, sf), at.rank_summaries(fx.tracks(spark, sf)), n=N_TEST)
+    log, _final = dr.refine(fx.drift_incidents(spark, sf), fx.fields(spark, sf), at.rank_summaries(fx.tracks(spark, sf)), n=N_FEEDBACK)
     return log
 
 
