@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.common import pieces_finder
+
 MAX_STATES = 100_000     # states kept in a worker's transducer
 MAX_PIECES = 1_000_000   # pieces whose ids a worker remembers (about 200 bytes each)
 MAX_PAIRS = 400_000      # pairs of tokens whose verdict a worker remembers
@@ -159,9 +161,7 @@ class TextEncoder:
     """Pieces of a text through the transducer; frequent pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
-        import regex
-
-        self.fst, self.find = Transducer(ranks, max_states), regex.compile(pattern).findall
+        self.fst, self.find = Transducer(ranks, max_states), pieces_finder(pattern)[0]
         self.known = _Pieces(self.fst, max_pieces)
 
     def encode_bytes(self, text: str) -> bytes:

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import durable
+from wakeline.llm.common import durable, pieces_finder
 from wakeline.session import shared_folder
 
 MAGIC, VERSION, BLOCK = b"S8BT", 1, 1024
 PACKINGS = [(1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([c for c, _ in PACKINGS], np.int64)
-MAX_PIECES = 600_000     # pieces whose ids a worker remembers (about 200 bytes each)
+MAX_PIECES = 1_200_000   # pieces whose ids a worker remembers (about 200 bytes each)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -168,13 +168,12 @@ class _Pieces:
     def __init__(self, path: str, pattern: str):
         import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
+        self.find, self.unusual = pieces_finder(pattern)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[^\t-\r -~\xa0-ɏ]", *special])).search
+        self.special = re.compile("|".join(special) or "(?!)").search
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -182,21 +181,17 @@ class _Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [None if self.whole(t) else self.find(t) for t in texts]
-        fresh = list(set().union(*(c for c in cut if c is not None)).difference(self.known))
-        found = self.known
-        if fresh:
-            made = {}
-            for at in range(0, len(fresh), 2048):
-                part = fresh[at:at + 2048]
-                made.update(zip(part, self._library(part), strict=True))
-            if len(self.known) + len(fresh) <= MAX_PIECES:
-                self.known.update(made)
-            else:                       # the memory is full: these pieces serve these texts only
-                made.update({p: self.known[p] for c in cut if c is not None for p in c if p in self.known})
-                found = made
-        get = found.__getitem__
-        return [self._library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        cut = [None if self.unusual(t) or self.special(t) else self.find(t) for t in texts]
+        known = self.known
+        fresh = list(set().union(*(c for c in cut if c is not None)).difference(known))
+        for at in range(0, len(fresh), 2048):
+            part = fresh[at:at + 2048]
+            known.update(zip(part, self._library(part), strict=True))
+        out = [self._library([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        if len(known) > MAX_PIECES:     # the memory is full: these pieces served these texts only
+            for p in fresh:
+                del known[p]
+        return out
 
 
 def _pieces(path: str, pattern: str, _made={}) -> _Pieces:
