@@ -130,6 +130,16 @@ def _segments(offsets: np.ndarray, window: int) -> Iterator[list[tuple[int, int,
         yield chunk
 
 
+def _parts(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text each, so that codes of eight bytes a symbol stay small."""
+    offsets = buffers(batch.column(text))[0]
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _batch(**cols) -> pa.RecordBatch:
     kinds = {"kind": pa.int8(), "late": pa.bool_(), "settled": pa.bool_(), "lo": pa.int32(), "n": pa.int32(), "off": pa.int32()}
     arrays = []
@@ -143,7 +153,7 @@ def _find(coder: Coder, keep_first: bool):
     """Cells of each batch, equal ones inside a chunk put together: all but the first (in order of the rows) are removed
     ranges; where every occurrence goes, so is the first, which stays as a settled cell for others to meet."""
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, 3)):
             codes, offsets = coder.make(b.column(3))
             late, k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for chunk in _segments(offsets, coder.window):
@@ -257,10 +267,10 @@ def _meet(keep_first: bool, max_cells: int):
 def _fetch(coder: Coder):
     """Codes of the listed cells of each text."""
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, 0)):
             codes, offsets = coder.make(b.column(0))
             lists = b.column(1)
-            flat, per = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            flat, per = lists.flatten(), np.diff(lists.offsets.to_numpy())      # both follow the slice
             row = np.repeat(np.arange(b.num_rows), per)
             col = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
             lo = col["lo"].to_numpy() + offsets[row]
