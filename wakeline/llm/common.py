@@ -134,7 +134,7 @@ def group_bounds(*columns: np.ndarray) -> np.ndarray:
 
 
 def pieces_finder(pattern: str, high: int = 0x250):
-    """findall of a tokenizer's pattern, and a search that tells texts outside plain Latin.
+    """findall of a tokenizer's pattern for any text, a search that tells texts outside plain Latin, and findall for the others.
 
     In plain Latin texts the pattern's Unicode classes are written out for the standard library's engine, which gives the same
     matches in half the time; patterns with other classes, and all other texts, go to the regex package.
@@ -158,6 +158,6 @@ def pieces_finder(pattern: str, high: int = 0x250):
         inside = "".join(out)
     plain = inside.replace("\\S", f"[^{space}]")
     if re.search(r"\\[pPSWwdDbBXkR]", plain):
-        return full, unusual
+        return full, unusual, full
     quick = re.compile(plain).findall
-    return (lambda text: full(text) if unusual(text) else quick(text)), unusual
+    return (lambda text: full(text) if unusual(text) else quick(text)), unusual, quick

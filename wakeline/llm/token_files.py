@@ -33,7 +33,7 @@ from wakeline.session import shared_folder
 MAGIC, VERSION, BLOCK = b"S8BT", 1, 1024
 PACKINGS = [(1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([c for c, _ in PACKINGS], np.int64)
-MAX_PIECES = 1_200_000   # pieces whose ids a worker remembers (about 200 bytes each)
+MAX_PIECES = 2_000_000   # pieces whose ids a worker remembers (about 200 bytes each)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ class _Pieces:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.find, self.unusual = pieces_finder(pattern)
+        _, self.unusual, self.find = pieces_finder(pattern)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or "(?!)").search
         self.known: dict[str, bytes] = {}
