@@ -17,7 +17,6 @@ from wakeline.plans.registry import query, rd
 from wakeline.plans.sqltext import cte, km, m_lat, m_lon, pmod, q, r
 
 N_TEST = dr.C.N_PARTICLES          # particles per incident in the registered drift runs
-N_FEEDBACK = 100                    # in the feedback run, which back-tracks every incident three times (a run parameter)
 
 cte("part0", "SELECT o_custkey // 15 AS incident_id, o_orderkey AS p, i.origin_lat AS olat, i.origin_lon AS olon FROM orders JOIN incident i ON i.incident_id = o_custkey // 15", "incident")
 cte("dback", """SELECT incident_id, p, t_h, olat + (p % 9 - 4) * 4e-3 * t_h + (p % 11 - 5) * 1e-2 AS lat,
@@ -357,7 +356,7 @@ def d9_joint_drift(spark, sf):
 
 @query("d7_release_time_feedback")
 def d7_release_time_feedback(spark, sf):
-    log, _final = dr.refine(fx.drift_incidents(spark, sf), fx.fields(spark, sf), at.rank_summaries(fx.tracks(spark, sf)), n=N_FEEDBACK)
+    log, _final = dr.refine(fx.drift_incidents(spark, sf), fx.fields(spark, sf), at.rank_summaries(fx.tracks(spark, sf)))
     return log
 
 
