@@ -334,7 +334,7 @@ def d1_seed_particles(spark, sf):
 @query("d3_particle_drift")
 def d3_particle_drift(spark, sf):
     i = fx.drift_incidents(spark, sf)
-    return dr.advect(dr.seed_centroid(i, N_TEST), i, fx.fields(spark, sf), hours=-48.0, record_every=48, seed=7, land=fx.land_edges(spark))
+    return dr.advect(dr.seed_centroid(i, N_TEST), i, fx.fields(spark, sf), hours=-48.0, record_every=1, seed=7, land=fx.land_edges(spark))
 
 
 @query("d5_hindcast")
