@@ -122,7 +122,7 @@ OIL = ["mean_contrast_db", "border_gradient_db_px", "spreading", "elongation", "
 @query("m3_m4_oil_ensemble")
 def m3_m4_oil_ensemble(spark, sf):
     d = fx.region_rows(spark, sf).withColumn("oil", (ra.rule_score() > 0.45).cast("double"))
-    m = md.train_oil(d, OIL, trees=20, rounds=5)                      # run parameters; defaults are 400 and 250
+    m = md.train_oil(d, OIL)
     p = md.predict_oil(m, d)
     return p.select("scene_id", "region_id", "oil", "probability", F.array_join(md.top_features(F.transform_values("contributions", lambda k, v: F.abs(v)), 6), ",").alias("top"))
 
