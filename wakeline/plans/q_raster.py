@@ -330,7 +330,7 @@ def p11_p14_lookalike_gates(spark, sf):
   FROM (SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS scene_id FROM supplier) s LEFT JOIN (SELECT * FROM lab2 WHERE scene_id % 3 > 0) l USING (scene_id) GROUP BY 1""", "lab2"))
 def p12_scene_label(spark, sf):
     s = fx.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("scene_id")).distinct()
-    return ra.scene_label(s, labelled(spark, sf).filter("scene_id % 3 > 0"))
+    return ra.scene_label(s, labelled(spark, sf))
 
 
 @query("p13_rule_score", q(f"""
@@ -361,10 +361,10 @@ def d1_seed_priority(spark, sf):
     """A mask beats a polygon beats a centroid; every particle lies in its mask's scene or in its ring."""
     i = fx.drift_incidents(spark, sf)
     sc_ = fx.scenes(spark, sf).withColumnRenamed("scene_id", "incident_id")
-    mask = fx.dark_pixels(spark, sf).filter("scene_id % 3 = 0").select(F.col("scene_id").alias("incident_id"), "row", "col", F.lit(1.0).alias("contrast"))
+    mask = fx.dark_pixels(spark, sf).select(F.col("scene_id").alias("incident_id"), "row", "col", F.lit(1.0).alias("contrast"))
     la, lo, d = F.col("centroid_lat"), F.col("centroid_lon"), 0.02
     ring = F.array(*[F.struct((lo + x).alias("lon"), (la + y).alias("lat")) for x, y in ((-d, -d), (d, -d), (d, d), (-d, d))])
-    s = dr.choose_seeds(i, mask=mask, scenes=sc_, rings=i.filter("incident_id % 3 <= 1").select("incident_id", ring.alias("ring")))
+    s = dr.choose_seeds(i, mask=mask, scenes=sc_, rings=i.select("incident_id", ring.alias("ring")))
     s = s.join(i.select("incident_id", "centroid_lat", "centroid_lon"), "incident_id").join(sc_.select("incident_id", "w", "e", "s", "n"), "incident_id", "left")
     px = 0.001      # a pixel's jitter may leave the scene by half a pixel
     inside = F.when(F.col("seed_kind") == "mask", F.col("lat").between(F.col("s") - px, F.col("n") + px) & F.col("lon").between(F.col("w") - px, F.col("e") + px)).when(
