@@ -1,9 +1,9 @@
-"""Word-level duplicates by prefix-partitioned suffix trees.
+"""Word-level duplicates by anchor cells and sorting, in place of prefix-partitioned suffix trees.
 
-The suffixes of all texts are split by a prefix, the gram of K words at a content-chosen anchor (see `repeats`); a prefix with
-more distinct cells than fit in memory is lengthened to the whole window. Each group's subtree is built top-down, K words a
-level, for branches that still hold two suffixes; the nodes WINDOW words deep are its maximal repeats. In each of them the
-occurrence with the smallest (doc_id, start) stays, all others are covered.
+The suffixes at content-chosen anchors are dealt out by their gram of K words (see `repeats`); an anchor with more distinct
+cells than fit in memory goes on by its whole window. Equal cells are settled by hash, border windows by a level-by-level
+sort, K words a level; no tree is built. In each group of equal windows of WINDOW words the occurrence with the smallest
+(doc_id, start) stays, all others are covered.
 
 Null texts have no words; texts under WINDOW words lose nothing; a null doc_id is later than all others; rows of one id and
 text are one document (neither is earlier); rows of one id with different texts are ordered by a hash of the text.
