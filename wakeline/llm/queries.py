@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import (
+    bitslice_variants,
     bpe_transducer,
     imatch,
     jaccard_join,
     language_id,
+    lexicon_transducer,
     quality_rules,
     source_mix,
     suffix_ranges,
     suffix_trees,
+    token_alignment,
     token_files,
     warc_index,
 )
@@ -128,3 +131,19 @@ def op9(spark, sf):
 @_query("op3_jaccard_join")
 def op3(spark, sf):
     return jaccard_join.similarity_classes(_table(spark, sf, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+@_query("op11_lexicon_transducer")
+def op11(spark, sf):
+    return lexicon_transducer.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op12_bitslice_variants")
+def op12(spark, sf):
+    return bitslice_variants.spelling_variants(_table(spark, sf, "documents"), min_chars=6, min_count=5, ratio=5, delete_every=199)
+
+
+@_query("op13_token_alignment")
+def op13(spark, sf):
+    return token_alignment.alignment_report(
+        _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
