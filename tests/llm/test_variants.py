@@ -87,3 +87,10 @@ def test_chains_of_forms(spark):
     df = spark.createDataFrame(list(c.items()), "word string, n long")
     got = {r.word: r.root for r in var.variants(df).collect()}
     assert got == {w: "zzzzzz" if w == "zzzzzz" else "abbbbb" for w in c}
+
+
+def test_words_without_company(spark):
+    """A batch in which every word is alone in its bucket."""
+    df = spark.createDataFrame([("abcdef", 9)], "word string, n long")
+    assert list(map(tuple, var.variants(df).collect())) == [("abcdef", None, "abcdef", 9, 0, None)]
+    assert var.variants(df.limit(0)).count() == 0

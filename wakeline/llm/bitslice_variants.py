@@ -140,6 +140,8 @@ def near_in_buckets(flat: np.ndarray, size: np.ndarray, bounds: np.ndarray, gap:
     spans[high - low < 2] = 0       # alone in its bucket
     order = np.argsort(-size, kind="stable")
     order = order[spans[order] > 0]
+    if not len(order):
+        return many, np.full(n, -1)
     cuts = np.searchsorted(np.cumsum(spans[order]), np.arange(CELLS // 8, int(spans[order].sum()) + CELLS // 8, CELLS // 8), "right")
     for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
         q = order[a:z]
