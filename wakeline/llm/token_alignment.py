@@ -5,8 +5,9 @@
    one ends later, or at the same byte in B; else itself. Successors are doubled (next = next[next]) until nothing changes:
    then every token holds the terminal token of its component, which labels the group.
 3. A group's last tokens of A and B end together: a link. Links are counted by id pair over all texts, each task first.
-4. Pairs with at least `share` of all links, of which there can be 1 / share at most, are written to the shared folder and
-   looked up by every worker in sorted arrays; links of other pairs go to their counts by a shuffle. Nothing is left out.
+4. Pairs with at least `share` of all links, of which there can be 1 / share at most (16 bytes each), are written to the
+   shared folder as sorted arrays, which the workers of a machine map and look up in place; links of other pairs go to their
+   counts by a shuffle. Nothing is left out.
 
 Null and empty texts, and texts that either tokenizer does not give back byte for byte, have no tokens: zeros and an empty
 digest. Special tokens' strings are plain text. Rows are independent, so null ids, ties and extra columns change nothing;
@@ -34,7 +35,7 @@ from wakeline.session import durable, shared_folder
 
 SLICE_CHARS = 1_000_000
 MAX_PIECES = 400_000    # pieces a worker remembers, per tokenizer
-SHARE = 1e-6            # of all links: at most a million pairs are looked up in place
+SHARE = 1e-7            # of all links: at most ten million pairs, 160 MB, are looked up in place
 HELD_PAIRS = 4_000_000  # pairs a counting task holds before it adds them up
 ID_BITS = 32            # a pair is a << ID_BITS | b
 
@@ -255,32 +256,36 @@ def score(aligned: DataFrame, share: float = SHARE, parts: int = 8) -> DataFrame
     folder = make_folder(f"{shared_folder(spark)}/pairs/{uuid.uuid4().hex}")
 
     def write(batches):
-        from pyspark import TaskContext
-
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if got:
-            keys, n, best = (np.concatenate(x) for x in zip(*got, strict=True))
-            put(folder, f"{TaskContext.get().partitionId()}.bin", np.stack([keys, n * 2 + best], 1).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([sum(len(g[0]) for g in got)], pa.int64())], ["n"])
-    counts.filter(often).repartition(parts, "pair").mapInArrow(write, "n long").agg(F.sum("n")).first()
+        held: dict[int, list] = {}
+        for b in batches:
+            part = b.column(0).to_numpy()
+            for p in np.unique(part).tolist():
+                held.setdefault(p, []).append(np.stack([b.column(1).to_numpy()[part == p], b.column(2).to_numpy()[part == p]]))
+        for p, got in held.items():
+            put(folder, f"{p}.bin", np.concatenate(got, 1).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], ["n"])
+    frequent = counts.filter(often).select(F.pmod("pair", F.lit(parts)).cast("int").alias("part"), "pair", (F.col("n") * 2 + F.col("best").cast("long")).alias("value"))
+    frequent.repartition(parts, "part").sortWithinPartitions("part", "pair").mapInArrow(write, "n long").agg(F.sum("n")).first()
     rows = aligned.withColumn("_row", F.monotonically_increasing_id())
     doc_cols = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
     types = {f.name: f.dataType.simpleString() for f in aligned.schema.fields}
     schema = "_row long, " + ", ".join(f"{c} {types[c]}" for c in doc_cols) + ", n_best long, count_sum long, rest array<long>, rest_times array<int>"
 
     def look_up(batches):
-        keys, n, best = _often(folder, parts)
+        maps = _often(folder, parts)
         for b in batches:
             pairs, times = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
             sizes = np.diff(pairs.offsets.to_numpy())
             key, t = pairs.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(b.num_rows), sizes)
-            k = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            hit = keys[k] == key if len(keys) else np.zeros(len(key), bool)
-            kh, rh, th = k[hit], row[hit], t[hit]
-            sums = np.zeros(b.num_rows, np.int64)
-            np.add.at(sums, rh, n[kh] * th)
-            n_best = np.bincount(rh, th * best[kh], b.num_rows).astype(np.int64)
+            row, value, part = np.repeat(np.arange(b.num_rows), sizes), np.full(len(key), -1, np.int64), key % parts
+            for p, (keys, values) in maps.items():
+                own = np.flatnonzero(part == p)
+                k = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
+                value[own] = np.where(keys[k] == key[own], values[k], -1)
+            hit = value >= 0
+            rh, th, sums = row[hit], t[hit], np.zeros(b.num_rows, np.int64)
+            np.add.at(sums, rh, (value[hit] >> 1) * th)
+            n_best = np.bincount(rh, th * (value[hit] & 1), b.num_rows).astype(np.int64)
             off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=b.num_rows))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-2], pa.array(n_best), pa.array(sums), pa.ListArray.from_arrays(off, pa.array(key[~hit])),
@@ -295,14 +300,11 @@ def score(aligned: DataFrame, share: float = SHARE, parts: int = 8) -> DataFrame
                       (F.col("count_sum") + F.coalesce("_sum", F.lit(0))).alias("count_sum"), "groups_sha256")
 
 
-def _often(folder: str, parts: int, _made={}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent pairs, ascending, with count and whether it is the best; one copy per worker."""
+def _often(folder: str, parts: int, _made={}) -> dict[int, np.ndarray]:
+    """Frequent pairs of each part, ascending, with 2 * count + (1 if it is the best)."""
     if folder not in _made:
         _made.clear()
-        got = [np.frombuffer(d, "<i8").reshape(-1, 2) for p in range(parts) if (d := view(folder, f"{p}.bin")) is not None]
-        all_ = np.concatenate(got) if got else np.zeros((0, 2), np.int64)
-        all_ = all_[np.argsort(all_[:, 0])]
-        _made[folder] = np.ascontiguousarray(all_[:, 0]), all_[:, 1] >> 1, all_[:, 1] & 1
+        _made[folder] = {p: d.view("<i8").reshape(2, -1) for p in range(parts) if (d := view(folder, f"{p}.bin")) is not None}
     return _made[folder]
 
 
