@@ -81,3 +81,64 @@ def test_position_clamps_and_hits(spark):
     t = spark.createDataFrame([(1, -5.0), (1, 0.0), (1, 5.0), (1, 10.0), (1, 99.0)], "mmsi long, t_h double")
     got = {r.t_h: (r.lat, r.lon) for r in sp.position_at(f, t).collect()}
     assert got == {-5.0: (0.0, 0.0), 0.0: (0.0, 0.0), 5.0: (0.5, 1.0), 10.0: (1.0, 2.0), 99.0: (1.0, 2.0)}
+
+
+def cloud_rows(seed, n_steps, sizes):
+    import random
+    r = random.Random(seed)
+    rows = []
+    for inc in (1, 2):
+        for s in range(n_steps):
+            centres = [(15 + r.random(), 73 + r.random()) for _ in range(3)]
+            for p in range(sizes[s % len(sizes)]):
+                la, lo = centres[r.randrange(3)]
+                rows.append((inc, p, -float(s), la + r.gauss(0, 0.03 * (s + 1)), lo + r.gauss(0, 0.05), False))
+    return rows
+
+
+def brute_ceiling(rows, sigma=7.0):
+    import numpy as np
+
+    from wakeline.functions.kernels import haversine_m
+    out = {}
+    for key in {(r[0], r[2]) for r in rows}:
+        la, lo = (np.array([r[c] for r in rows if (r[0], r[2]) == key]) for c in (3, 4))
+        km = haversine_m(la[:, None], lo[:, None], la[None], lo[None]) / 1000
+        out[key] = max(np.exp(-0.5 * (km / sigma) ** 2).mean(1).max(), 1e-6)
+    return out
+
+
+@pytest.mark.parametrize("grid", [32, 2])
+def test_ceiling_equals_all_pairs(spark, grid, monkeypatch):
+    rows = cloud_rows(3, 4, [400, 1, 60, 2]) + [(7, p, 0.0, 1.0, 179.9 if p % 2 else -179.9, False) for p in range(5)]
+    df = spark.createDataFrame(rows, "incident_id long, particle_id long, t_h double, lat double, lon double, beached boolean")
+    if grid != 32:
+        whole = ev.ceiling_candidates
+        monkeypatch.setattr(ev, "ceiling_candidates", lambda d: whole(d, grid=grid))
+    want = brute_ceiling(rows)
+    got = {(r.incident_id, r.t_h): r.ceiling for r in ev.cloud_ceiling(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    some = df.filter("t_h = -2").select("incident_id", "t_h")
+    assert {(r.incident_id, r.t_h) for r in ev.cloud_ceiling(df, some).collect()} == {k for k in want if k[1] == -2}
+
+
+def test_bounds_leave_most_cells_closed(spark):
+    rows = cloud_rows(5, 1, [3000])
+    df = spark.createDataFrame(rows, "incident_id long, particle_id long, t_h double, lat double, lon double, beached boolean")
+    assert ev.ceiling_candidates(df).count() < 0.5 * len(rows)
+
+
+def test_box_range_bounds_the_distance():
+    import numpy as np
+
+    from wakeline.functions.kernels import box_range_m, haversine_m
+    r = np.random.default_rng(1)
+    a, b = (np.sort(r.uniform(-60, 60, (50, 2)), 1) for _ in range(2))
+    x, y = (np.sort(r.uniform(-180, 180, (50, 2)), 1) for _ in range(2))
+    near, far = box_range_m(np.hstack([a, x]), np.hstack([b, y]))
+    for _ in range(40):
+        u, v, w, z = (r.random(50) for _ in range(4))
+        d = haversine_m((a[:, 0] + u * (a[:, 1] - a[:, 0]))[:, None], (x[:, 0] + v * (x[:, 1] - x[:, 0]))[:, None],
+                        (b[:, 0] + w * (b[:, 1] - b[:, 0]))[None], (y[:, 0] + z * (y[:, 1] - y[:, 0]))[None])
+        assert (d >= near - 1e-6).all() and (d <= far + 1e-6).all()

@@ -16,6 +16,24 @@ def haversine_m(lat1, lon1, lat2, lon2):
     return 2 * EARTH_M * np.arcsin(np.sqrt(np.clip(a, 0.0, 1.0)))
 
 
+def box_range_m(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the distance between any point of box a and any of box b, for all pairs of rows (south, north, west, east)."""
+    def cos_range(box):
+        c = np.cos(box[:, :2] * DEG)
+        return c.min(1), np.where((box[:, 0] <= 0) & (box[:, 1] >= 0), 1.0, c.max(1))
+
+    def gap(lo, hi):
+        x, y = a[:, lo][:, None] - b[:, hi][None], b[:, lo][None] - a[:, hi][:, None]
+        return np.maximum(np.maximum(x, y), 0.0) * DEG, -np.minimum(x, y) * DEG
+    (la, ha), (lb, hb) = cos_range(a), cos_range(b)
+    (y0, y1), (x0, x1) = gap(0, 1), gap(2, 3)
+    near = np.sin(y0 / 2) ** 2 + la[:, None] * lb[None] * np.sin(x0 / 2) ** 2
+    far = np.sin(y1 / 2) ** 2 + ha[:, None] * hb[None] * np.sin(x1 / 2) ** 2
+    near, far = (2 * EARTH_M * np.arcsin(np.sqrt(np.clip(v, 0.0, 1.0))) for v in (near, far))
+    turn = x1 > np.pi       # across the date line sines fall again: nothing is known
+    return np.where(turn, 0.0, near), np.where(turn, np.inf, far)
+
+
 def walk(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, last, max_kn: float) -> np.ndarray:
     """Kept flags of one time-ordered block, entered with `last` = (t_h, lat, lon) or None.
 

@@ -21,7 +21,8 @@ def gather(fixes: DataFrame, incidents: DataFrame, *, pairs: DataFrame | None =
     if drift_pos is None:
         st = ev.st_score(lg, fixes)
     else:
-        st = ev.volume_score(ev.volume_match(pairs, fixes, drift_pos), ev.cloud_ceiling(drift_pos), incidents)
+        match = durable(ev.volume_match(pairs, fixes, drift_pos))
+        st = ev.volume_score(match, ev.cloud_ceiling(drift_pos, ev.ceiling_steps(match)), incidents)
     e = (ev.window_evidence(lg).join(st, ev.PAIR, "left").join(tr.identity(fixes).select("mmsi", "vessel_type", "name"), "mmsi")
          .withColumn("vessel_prior", vessel_prior("vessel_type")).withColumn("axis_alignment_available", F.col("axis_available")))
     if anomaly is not None:

@@ -462,7 +462,7 @@ def refine(incidents: DataFrame, cells: DataFrame, rank_fn, *, max_iterations: i
         else:
             cur = cur.join(prev, "incident_id", "left")
         age = F.abs("best_match_time_h")
-        shift = geo.haversine_km("best_lat", "best_lon", "_pl", "_po")
+        shift = F.when(F.col("_pl").isNotNull(), geo.haversine_km("best_lat", "best_lon", "_pl", "_po"))
         settled = (F.abs(age - F.col("_pa")) < converge_h) & (shift < converge_km)
         weak = F.col("top_score").isNull() | (F.col("top_score") < min_top_score)
         state = (F.when(weak, "below_floor").when(F.col("best_match_time_h").isNull(), "no_match_time")

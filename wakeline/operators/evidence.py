@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wakeline import config as C
 from wakeline.functions import geo
-from wakeline.functions.kernels import haversine_m
+from wakeline.functions.kernels import box_range_m, haversine_m
 from wakeline.functions.labels import anomaly_unit_score, cpa_score, score_band, severity
 from wakeline.operators.slices import exact_quantiles, sliced
 from wakeline.operators.spatial import padded, position_at, spans
@@ -189,9 +189,60 @@ def cloud_overlap(points: DataFrame, drift_pos: DataFrame, key: list[str], chunk
     return z.groupBy(*keys).agg((F.sum("s") / F.sum("_n")).alias("overlap"), F.min("d").alias("nearest"))
 
 
-def cloud_ceiling(drift_pos: DataFrame) -> DataFrame:
-    """Best kernel mean any single particle reaches per step; every particle is a candidate."""
-    o = cloud_overlap(drift_pos.select("incident_id", "t_h", "particle_id", "lat", "lon"), drift_pos, ["particle_id"])
+def _cell_bounds(fine: pd.DataFrame, sigma_km: float, most: int = 4096, block: int = 512) -> np.ndarray:
+    """Flags of the fine cells of one step that may hold the particle with the highest kernel sum.
+
+    Two levels: a coarse cell is opened only if its upper bound reaches the highest lower bound found so far, then the same
+    among the fine cells of the opened ones."""
+    coarse = fine.groupby(["cy", "cx"], sort=False).agg(n=("n", "sum"), s=("s", "min"), t=("t", "max"), w=("w", "min"), e=("e", "max")).reset_index()
+    box = lambda c: c[["s", "t", "w", "e"]].to_numpy(float)
+    wide, narrow = box(coarse), box(fine)
+
+    def bounds(cells, sources, n):
+        low, high = np.empty(len(cells)), np.empty(len(cells))
+        for i in range(0, len(cells), block):
+            near, far = box_range_m(cells[i:i + block], sources)
+            high[i:i + block] = np.exp(-0.5 * (near / 1000.0 / sigma_km) ** 2) @ n
+            low[i:i + block] = np.exp(-0.5 * (far / 1000.0 / sigma_km) ** 2) @ n
+        return low, high
+    low, high = bounds(wide, wide, coarse["n"].to_numpy(float))
+    best = low.max()
+    opened = coarse.loc[high * (1 + 1e-9) >= best, ["cy", "cx"]].assign(_open=True)
+    may = fine[["cy", "cx"]].merge(opened, "left", ["cy", "cx"])["_open"].notna().to_numpy()
+    at = np.flatnonzero(may)
+    sources, n = (narrow, fine["n"]) if len(fine) <= most else (wide, coarse["n"])
+    low, high = bounds(narrow[at], sources, n.to_numpy(float))
+    may[at] = high * (1 + 1e-9) >= max(best, low.max())
+    return may
+
+
+def ceiling_candidates(drift_pos: DataFrame, sigma_km: float = C.ST_SIGMA_KM, grid: int = 32, split: int = 4) -> DataFrame:
+    """Particles that may reach the highest kernel mean of their step: those in cells that the bounds leave open.
+
+    Coarse cells are half a kernel width, or the cloud's extent / `grid` if that is wider, so a step has at most about
+    (grid * split)^2 fine cells: the grouped part below holds cells, whatever the number of particles."""
+    step = ["incident_id", "t_h"]
+    p = drift_pos.select(*step, "particle_id", "lat", "lon")
+    ext = p.groupBy(*step).agg(F.min("lat").alias("_s"), F.min("lon").alias("_w"), F.max("lat").alias("_n"), F.max("lon").alias("_e"))
+    size = F.greatest(F.lit(sigma_km / 2 / 111.2), (F.col("_n") - F.col("_s")) / grid, (F.col("_e") - F.col("_w")) / grid)
+    p = p.join(ext.select(*step, "_s", "_w", size.alias("_d")), step)
+    fine = lambda c, o: F.floor((F.col(c) - F.col(o)) / F.col("_d") * split)
+    p = p.withColumn("fy", fine("lat", "_s")).withColumn("fx", fine("lon", "_w")).drop("_s", "_w", "_d")
+    cells = p.groupBy(*step, "fy", "fx").agg(F.count(F.lit(1)).alias("n"), F.min("lat").alias("s"), F.max("lat").alias("t"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    cells = cells.withColumn("cy", F.floor(F.col("fy") / split)).withColumn("cx", F.floor(F.col("fx") / split))
+
+    def prune(c: pd.DataFrame) -> pd.DataFrame:
+        return c.loc[_cell_bounds(c, sigma_km), ["incident_id", "t_h", "fy", "fx"]]
+    kept = cells.groupBy(*step).applyInPandas(prune, "incident_id long, t_h double, fy long, fx long")
+    return p.join(kept, [*step, "fy", "fx"], "left_semi").drop("fy", "fx")
+
+
+def cloud_ceiling(drift_pos: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Best kernel mean any single particle reaches per step, exactly; every particle is a candidate until a bound excludes it.
+    With `steps` (incident_id, t_h) only at these."""
+    if steps is not None:
+        drift_pos = drift_pos.join(steps.select("incident_id", "t_h").distinct(), ["incident_id", "t_h"], "left_semi")
+    o = cloud_overlap(ceiling_candidates(drift_pos), drift_pos, ["particle_id"])
     return o.groupBy("incident_id", "t_h").agg(F.greatest(F.max("overlap"), F.lit(1e-6)).alias("ceiling"))
 
 
@@ -205,11 +256,21 @@ def volume_match(pairs: DataFrame, fixes: DataFrame, drift_pos: DataFrame) -> Da
     return cloud_overlap(at, drift_pos, ["mmsi"])
 
 
-def volume_score(match: DataFrame, ceiling: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Space-time score over the recorded steps (at most one element per step), scaled by the ceiling of the best step."""
+def _best_steps(match: DataFrame) -> DataFrame:
+    """Overlaps of each pair in time order, and the (first) step of the highest."""
     packed = match.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct(F.col("t_h").alias("t"), "overlap", "nearest"))).alias("s"))
     best = F.aggregate(F.col("s"), F.element_at("s", 1), lambda acc, x: F.when(x["overlap"] > acc["overlap"], x).otherwise(acc))
-    j = (packed.withColumn("t_h", best["t"]).join(ceiling, ["incident_id", "t_h"])
+    return packed.withColumn("t_h", best["t"])
+
+
+def ceiling_steps(match: DataFrame) -> DataFrame:
+    """The steps whose ceiling scales a score: the best one of each pair."""
+    return _best_steps(match).select("incident_id", "t_h").distinct()
+
+
+def volume_score(match: DataFrame, ceiling: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Space-time score over the recorded steps (at most one element per step), scaled by the ceiling of the best step."""
+    j = (_best_steps(match).join(ceiling, ["incident_id", "t_h"])
          .join(incidents.select("incident_id", "prior_lo_h", "prior_hi_h"), "incident_id"))
     return _score_series(j, F.col("ceiling"))
 

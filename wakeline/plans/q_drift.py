@@ -15,6 +15,7 @@ from wakeline.plans import fixtures as fx
 from wakeline.plans.q_evidence import PAIR, pairs
 from wakeline.plans.registry import query, rd
 from wakeline.plans.sqltext import cte, km, m_lat, m_lon, pmod, q, r
+from wakeline.session import durable
 
 N_TEST = dr.C.N_PARTICLES          # particles per incident in the registered drift runs
 
@@ -356,7 +357,9 @@ def d9_joint_drift(spark, sf):
 
 @query("d7_release_time_feedback")
 def d7_release_time_feedback(spark, sf):
-    log, _final = dr.refine(fx.drift_incidents(spark, sf), fx.fields(spark, sf), at.rank_summaries(fx.tracks(spark, sf)))
-    return log
+    """Every iteration of every incident, and beside it the origin, window and spread that the loop ended with."""
+    log, final = dr.refine(fx.drift_incidents(spark, sf), durable(fx.fields(spark, sf)), at.rank_summaries(durable(fx.tracks(spark, sf))))
+    last = final.select("incident_id", *[F.col(c).alias(f"final_{c}") for c in ("best_lat", "best_lon", "t0_h", "t1_h", "spread_km", "feedback")])
+    return log.join(last, "incident_id", "left")
 
 

@@ -327,7 +327,7 @@ def p11_p14_lookalike_gates(spark, sf):
 
 @query("p12_scene_label", q("""
   SELECT s.scene_id, coalesce(CASE WHEN count(*) FILTER (label = 'Oil-like anomaly') > 0 THEN 'Oil-like anomaly' WHEN count(label) > 0 THEN 'Likely look-alike' END, 'No significant anomaly') AS scene_label
-  FROM (SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS scene_id FROM supplier) s LEFT JOIN (SELECT * FROM lab2 WHERE scene_id % 3 > 0) l USING (scene_id) GROUP BY 1""", "lab2"))
+  FROM (SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS scene_id FROM supplier) s LEFT JOIN lab2 l USING (scene_id) GROUP BY 1""", "lab2"))
 def p12_scene_label(spark, sf):
     s = fx.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("scene_id")).distinct()
     return ra.scene_label(s, labelled(spark, sf))
@@ -355,8 +355,8 @@ def l2_detection_order(spark, sf):
 
 # -- seeds from masks, rings and centroids ----------------------------------------------------------------------------
 @query("d1_seed_priority", q("""
-  SELECT incident_id, CASE WHEN incident_id % 3 = 0 AND EXISTS (SELECT 1 FROM px WHERE px.scene_id = i.incident_id AND db < -123e-1) THEN 'mask'
-    WHEN incident_id % 3 <= 1 THEN 'polygon' ELSE 'centroid' END AS seed_kind, 900::BIGINT AS n, 1e0 AS weight, true AS inside FROM incident i""", "incident", "px"))
+  SELECT incident_id, CASE WHEN EXISTS (SELECT 1 FROM px WHERE px.scene_id = i.incident_id AND db < -123e-1) THEN 'mask'
+    ELSE 'polygon' END AS seed_kind, 900::BIGINT AS n, 1e0 AS weight, true AS inside FROM incident i""", "incident", "px"))
 def d1_seed_priority(spark, sf):
     """A mask beats a polygon beats a centroid; every particle lies in its mask's scene or in its ring."""
     i = fx.drift_incidents(spark, sf)
