@@ -41,6 +41,28 @@ def test_cooldown_suppresses_forward_only(spark):
     assert got[8] == (live_status, None) and got[9] == (live_status, None)
 
 
+def test_cooldown_does_not_depend_on_arrow_batches(spark):
+    import random
+    r = random.Random(4)
+    rows = [(i, pd.Timestamp((1_000_000 + 10 * i) * 60_000, unit="ms").to_pydatetime(), 1.0, 2.0, i % 17 == 5, sorted(LIVE)[0]) for i in range(90)]
+    r.shuffle(rows)
+    last, want = None, {}
+    for i, ts, *_, force, outcome in sorted(rows):
+        if last is not None and (ts - last[1]).total_seconds() <= live.C.COOLDOWN_MIN * 60 and not force:
+            want[i] = ("SUPPRESSED", last[0])
+        else:
+            want[i], last = (outcome, None), (i, ts)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        stream = replay(spark, [rows], "alert_id long, ts timestamp, lat double, lon double, force boolean, outcome string")
+        sink = f"{shared_folder(spark)}/o-{uuid.uuid4().hex}"
+        run(live.alert_cooldown(stream, watermark="30 days").writeStream.format("parquet").option("path", sink), spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {x.alert_id: (x.status, x.dedup_of_id) for x in spark.read.parquet(sink).collect()} == want
+
+
 def test_late_rows_survive_a_restart(spark):
     base = f"{shared_folder(spark)}/l-{uuid.uuid4().hex}"
     ts = lambda minute: pd.Timestamp(minute * 60, unit="s").to_pydatetime()

@@ -185,20 +185,60 @@ def runs(mask: DataFrame) -> DataFrame:
     return mask.withColumn("_i", isl).groupBy("scene_id", "row", "_i").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_i")
 
 
-def components(mask: DataFrame, diagonal: bool = False, bucket: int = 256) -> DataFrame:
-    """4- (or 8-) connected labels: pixels + region_id (the smallest run code of the component).
+_CODE = 1 << 31
 
-    Nodes are runs, not pixels; edges come from touching runs of neighbouring rows. Labels spread by alternating star
-    contractions, which need a number of rounds that grows with the logarithm of the longest chain.
-    """
-    code = lambda r, c: F.col(r).cast("bigint") * F.lit(1 << 31) + F.col(c)
-    rn = durable(runs(mask).withColumn("node", code("row", "c0")))
-    g = 1 if diagonal else 0
-    b = lambda df, lo, hi: df.withColumn("_b", F.explode(F.sequence(F.floor((F.col("c0") - lo) / bucket), F.floor((F.col("c1") + hi) / bucket))))
-    up = b(rn, g, g).select("scene_id", (F.col("row") + 1).alias("row"), "_b", F.col("c0").alias("u0"), F.col("c1").alias("u1"), F.col("node").alias("u"))
-    dn = b(rn, 0, 0).select("scene_id", "row", "_b", "c0", "c1", F.col("node").alias("v"))
-    e = up.join(dn, ["scene_id", "row", "_b"]).filter((F.col("u0") <= F.col("c1") + g) & (F.col("c0") <= F.col("u1") + g))
-    e = durable(e.select("scene_id", "u", "v").distinct())
+
+def _merged(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Least node of each node's component: roots hook onto smaller ones, paths are halved, until nothing changes."""
+    lab = np.arange(n)
+    while True:
+        a, b = lab[u], lab[v]
+        low, new = np.minimum(a, b), lab.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        while True:
+            far = new[new]
+            if np.array_equal(far, new):
+                break
+            new = far
+        if np.array_equal(new, lab):
+            return lab
+        lab = new
+
+
+def _tile_labels(row: np.ndarray, col: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pixels of one tile in row-major order (as codes) and the least code of each one's component inside the tile."""
+    code = np.unique(row.astype(np.int64) * _CODE + col)
+    first = np.ones(len(code), bool)
+    first[1:] = code[1:] != code[:-1] + 1       # a run of pixels; codes of different rows are far apart
+    start = code[first]
+    end = code[np.append(np.flatnonzero(first)[1:] - 1, len(code) - 1)]
+    lo = np.searchsorted(end, start + _CODE - reach)
+    many = np.maximum(np.searchsorted(start, end + _CODE + reach, "right") - lo, 0)
+    u = np.repeat(np.arange(len(start)), many)
+    v = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - lo, many)
+    return code, start[_merged(len(start), u, v)][np.cumsum(first) - 1]
+
+
+def _contract(edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """scene_id, node, root (the least node reached) of a graph of labels: scenes with up to `most` edges in one grouped
+    pass, larger ones by alternating star contractions, whose rounds grow with the logarithm of the longest chain."""
+    edges = durable(edges)
+    size = durable(edges.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n")))
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        node, at = np.unique(e[["u", "v"]].to_numpy().T.ravel(), return_inverse=True)
+        root = _merged(len(node), at[:len(e)], at[len(e):])
+        return pd.DataFrame({"scene_id": e["scene_id"].iloc[0], "node": node, "root": node[root]})
+    kind = edges.schema["scene_id"].dataType.simpleString()
+    small = edges.join(broadcast_if_small(size.filter(F.col("_n") <= most)), "scene_id", "left_semi")
+    out = small.groupBy("scene_id").applyInPandas(run, f"scene_id {kind}, node long, root long")
+    if size.filter(F.col("_n") > most).isEmpty():
+        return out
+    return out.unionByName(_stars(durable(edges.join(size.filter(F.col("_n") > most), "scene_id", "left_semi"))))
+
+
+def _stars(e: DataFrame) -> DataFrame:
     both = lambda df: df.unionByName(df.select("scene_id", F.col("v").alias("u"), F.col("u").alias("v")))
     while True:
         d = both(e)
@@ -214,10 +254,31 @@ def components(mask: DataFrame, diagonal: bool = False, bucket: int = 256) -> Da
         same = nxt.exceptAll(e.select("scene_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()).isEmpty() and nxt.count() == e.count()
         e = nxt
         if same:
-            break
-    lab = e.groupBy("scene_id", F.col("u").alias("node")).agg(F.min("v").alias("_l"))
-    r = rn.join(lab, ["scene_id", "node"], "left").withColumn("region_id", F.coalesce("_l", "node"))
-    return r.select("scene_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "region_id")
+            return e.groupBy("scene_id", F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
+def components(mask: DataFrame, diagonal: bool = False, tile: int = 128, most: int = 200_000) -> DataFrame:
+    """4- (or 8-) connected labels: pixels + region_id (row * 2^31 + col of the component's first pixel in row-major order).
+
+    Pixels are shuffled once, to square tiles, and labelled there. Labels that touch across a tile border are the edges of a
+    small graph; its contraction renames the labels that reach into several tiles.
+    """
+    types = {f.name: f.dataType.simpleString() for f in mask.schema.fields}
+    reach = 1 if diagonal else 0
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        code, lab = _tile_labels(p["row"].to_numpy(), p["col"].to_numpy(), reach)
+        return pd.DataFrame({"scene_id": p["scene_id"].iloc[0], "row": code // _CODE, "col": code % _CODE, "_l": lab})
+    tiles = mask.select(*PX).groupBy("scene_id", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
+    lab = durable(tiles.applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in PX) + ", _l long"))
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    rim = lab.filter(edge("row") | edge("col"))
+    steps = [(1, 0), (0, 1)] + [(1, 1), (1, -1)] * diagonal
+    to = F.explode(F.array(*[F.struct((F.col("row") + y).cast(types["row"]).alias("row"), (F.col("col") + x).cast(types["col"]).alias("col")) for y, x in steps]))
+    over = rim.select("scene_id", to.alias("_p"), F.col("_l").alias("u")).select("scene_id", "_p.row", "_p.col", "u")
+    links = over.join(rim.withColumnRenamed("_l", "v"), PX).filter(F.col("u") != F.col("v")).select("scene_id", "u", "v").distinct()
+    roots = durable(_contract(links, most)).select("scene_id", F.col("node").alias("_l"), "root")
+    return lab.join(broadcast_if_small(roots), ["scene_id", "_l"], "left").select(*PX, F.coalesce("root", "_l").alias("region_id"))
 
 
 def hysteresis(low: DataFrame, high: DataFrame) -> DataFrame:

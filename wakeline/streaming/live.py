@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def dark_vessels(pings: DataFrame, minutes: float = C.GAP_FLAG_MIN, watermark: s
 
 def alert_cooldown(alerts: DataFrame, minutes: int = C.COOLDOWN_MIN, grid: float = C.DEDUP_GRID_DEG, watermark: str = "1 hour") -> DataFrame:
     """Suppression per grid cell: an alert within the cooldown after the cell's last live one is suppressed and does not
-    extend the cooldown. A late alert is not suppressed by a later one and does not set the cooldown back. The state of a
+    extend the cooldown. Alerts of a micro-batch are taken in order of time. A late alert is not suppressed by a later one and does not set the cooldown back. The state of a
     cell is one alert and is dropped when the watermark passes its cooldown. Neighbouring cells are the batch operator's."""
     us = minutes * 60_000_000
 
@@ -62,19 +63,21 @@ def alert_cooldown(alerts: DataFrame, minutes: int = C.COOLDOWN_MIN, grid: float
             state.remove()
             return
         last_t, last_id = state.get if state.exists else (None, None)
-        for b in batches:       # Arrow batches of the cell, one after the other
-            b = b.sort_values(["t_us", "alert_id"])
-            ids, times = b["alert_id"].to_numpy(), b["t_us"].to_numpy()
-            force, outcome = b["force"].to_numpy(), b["outcome"].to_numpy()
+        parts = [[b[c].to_numpy() for c in ("t_us", "alert_id", "force", "outcome")] for b in batches]
+        if parts:               # the cell's alerts of the micro-batch in order of time, however Arrow has cut them
+            times, ids, force, outcome = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((ids, times))
+            times, ids, force, outcome = times[order], ids[order], force[order], outcome[order]
             dup_of, status = [None] * len(ids), list(outcome)
             for i in range(len(ids)):
                 if last_t is not None and 0 <= times[i] - last_t <= us and not force[i]:
                     dup_of[i], status[i] = last_id, "SUPPRESSED"
                 elif outcome[i] in LIVE and (last_t is None or times[i] >= last_t):
                     last_t, last_id = int(times[i]), int(ids[i])
-            d = pd.DataFrame({"alert_id": ids, "status": status})
-            d["dedup_of_id"] = pd.array(dup_of, dtype="Int64")
-            yield d
+            for at in range(0, len(ids), 10_000):
+                d = pd.DataFrame({"alert_id": ids[at:at + 10_000], "status": status[at:at + 10_000]})
+                d["dedup_of_id"] = pd.array(dup_of[at:at + 10_000], dtype="Int64")
+                yield d
         if last_t is not None:
             state.update((last_t, last_id))
             state.setTimeoutTimestamp(max((last_t + us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
