@@ -159,3 +159,17 @@ def test_pipeline_stages_chain(spark, tmp_path):
 def test_empty_pipeline(spark, tmp_path):
     empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixed_rows_of_equal_id_and_text(spark):
+    """Rows that differ in source or in other columns only are all dealt copies, the same ones at every run."""
+    rows = [(1, "a b c", s, "x") for s in ("s", "t", "u", "v")] + [(1, "a b c", "s", "y"), (1, "a b c", "s", "y"), (2, "d e f g", "t", None), (None, "a b c", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string").repartition(5)
+    given = Counter()
+    for r in source_mix.mix(df).select("skey", "copies").collect():
+        given[r.skey] += r.copies
+    runs = [sorted(map(tuple, source_mix.materialise(df.repartition(n)).collect()), key=str) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == sum(given.values())
+    got = Counter(r[2] for r in runs[0])
+    key = {r.source: r.skey for r in df.select("source", source_mix.source_key().alias("skey")).distinct().collect()}
+    assert all(got[s] == given[k] for s, k in key.items())

@@ -255,8 +255,8 @@ def similarity_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     wanted = comp.join(sizes, "comp").join(nodes.select("node", "docs", "k1"), "node")
     sets = keyed.select("k1", "text").join(wanted, "k1").select("text", "node", "docs", "comp", "size").mapInArrow(
         _sets(k), "node binary, docs long, comp binary, size long, shingles binary, sig binary")
-    repeated = signed.filter(F.col("node").isNotNull()).groupBy("k1", "node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
-    sets = sets if repeated else sets.dropDuplicates(["node"])
+    unrepeated = signed.filter(F.col("node").isNotNull()).groupBy("k1", "node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+    sets = sets if unrepeated else sets.dropDuplicates(["node"])
     units = _units(sets, "comp", "size", block).select("unit", "i", "j", "block", "node", "docs", "shingles", "sig")
     links = durable(units.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(_verify(need, threshold), "a binary, b binary, links long"))
     root = components(links)
@@ -275,6 +275,6 @@ def keep_one_of_each_class(docs: DataFrame, **how) -> DataFrame:
     stay = durable(similarity_classes(docs, **how).filter("keep").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_rows")))
     whole = row_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     out = whole.join(stay, ["k1", "k2"])
-    if not stay.filter("_rows > 1").isEmpty():      # repeated rows are copies: one of them stays
-        out = out.groupBy("k1", "k2").agg(F.first("_row").alias("_row"))
+    if not stay.filter("_rows > 1").isEmpty():      # repeated rows are copies: one of them stays, the same at every run
+        out = out.groupBy("k1", "k2").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return out.select("_row.*")

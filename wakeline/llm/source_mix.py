@@ -112,12 +112,25 @@ def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = CAP) -> DataFrame:
 
 
 def materialise(docs: DataFrame, weights=(1, 2, 3), cap: int = CAP) -> DataFrame:
-    """The mixed corpus: each document's own columns, as many times as it was given copies."""
-    taken = mix(docs, weights, cap).filter("copies > 0").groupBy("k1", "k2").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    whole = row_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))).select("k1", "k2", "_row")
-    # repeated rows share their copies: all but one of them get the floor, and what is left goes to the first
-    copies = whole.groupBy("k1", "k2").agg(F.first("_row").alias("_row")) if _repeated(docs) else whole
-    return copies.join(taken, ["k1", "k2"]).select(F.explode(F.array_repeat("_row", F.col("_copies").cast("int"))).alias("_row")).select("_row.*")
+    """The mixed corpus: each document's own columns, as many times as it was given copies.
+
+    Rows of one (id, text, source) share the copies of their group: each gets the floor, and those that are first by a hash
+    of the whole row one more, so a rerun gives the same rows. Equal rows are counted before they are dealt copies.
+    """
+    given = mix(docs, weights, cap).select("k1", "k2", "skey", "copies")
+    whole = row_keys(docs.select("doc_id", "text", source_key().alias("skey"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
+    whole = whole.select("k1", "k2", "skey", "_row")
+    if not _repeated(docs):
+        copies = whole.join(given.filter("copies > 0").select("k1", "k2", F.col("copies").alias("_copies")), ["k1", "k2"])
+    else:
+        key = ["k1", "k2", "skey"]
+        taken = given.groupBy(*key).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).filter("_all > 0")
+        kinds = whole.withColumn("_h", F.xxhash64(F.to_json("_row"))).groupBy(*key, "_h").agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row"))
+        before = F.coalesce(F.sum("_n").over(W.partitionBy(*key).orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        dealt = kinds.withColumn("_before", before).join(taken, key)
+        more = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_all") % F.col("_rows") - F.col("_before")))
+        copies = dealt.withColumn("_copies", F.floor(F.col("_all") / F.col("_rows")) * F.col("_n") + more).filter("_copies > 0")
+    return copies.select(F.explode(F.array_repeat("_row", F.col("_copies").cast("int"))).alias("_row")).select("_row.*")
 
 
 def _repeated(docs: DataFrame) -> bool:
