@@ -122,16 +122,76 @@ def seed_mask(pixels: DataFrame, scenes: DataFrame, n: int = C.N_PARTICLES, seed
 
 # -- advection --------------------------------------------------------------------------------------------------------
 _POS = "incident_id long, particle_id long, t_h double, lat double, lon double, beached boolean"
+WHOLE_FIELD = 250_000       # cells of a field up to which a unit may hold it whole
+
+
+class Run:
+    """Steps of one advection: times are summed up as the steps go, so parts of a run see the same times as the whole."""
+
+    def __init__(self, hours: float, timestep_s: float, record_every: int, seed: int, diffusion: bool):
+        total_s = hours * 3600.0
+        self.n_steps = max(int(abs(total_s) / timestep_s), 1)
+        self.dt = math.copysign(abs(total_s) / self.n_steps, total_s)
+        self.sigma = math.sqrt(2.0 * C.DIFFUSIVITY * abs(self.dt)) if diffusion else 0.0
+        self.record_every, self.seed = record_every, seed
+        self.times = [0.0]
+        for _ in range(self.n_steps):
+            self.times.append(self.times[-1] + self.dt / 3600.0)
+
+    def recorded(self, k: int) -> bool:
+        return (k + 1) % self.record_every == 0 or k == self.n_steps - 1
+
+
+def metres_per_degree(lat0: float) -> tuple[float, float]:
+    r = math.radians(lat0)
+    return max(111_412.84 * math.cos(r) - 93.5 * math.cos(3 * r), 1e-6), 111_132.92 - 559.82 * math.cos(2 * r) + 1.175 * math.cos(4 * r)
+
+
+def integrate(run: Run, k0: int, k1: int, fld: GridField, edges: np.ndarray, incident: int, pid: np.ndarray, la0: float, lo0: float,
+              x: np.ndarray, y: np.ndarray, beached: np.ndarray, out: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """RK4 steps k0 to k1 of particles at metres x, y from (la0, lo0); recorded positions are appended to `out` as (t, y, x)."""
+    mx, my = metres_per_degree(la0)
+    hemi = 1.0 if la0 >= 0 else -1.0
+    cth, sth = math.cos(math.radians(C.WIND_DEFLECTION_DEG)), math.sin(math.radians(C.WIND_DEFLECTION_DEG))
+    wf, cf, kf, dt = C.WIND_FACTOR, C.CURRENT_FACTOR, C.STOKES_FACTOR, run.dt
+    h = dt / 3600.0
+
+    def vel(x, y, t):
+        wu, wv, cu, cv = fld.at(t, la0 + y / my, lo0 + x / mx)
+        return (cf * cu + wf * (wu * cth + wv * sth * hemi) + kf * wu,
+                cf * cv + wf * (wv * cth - wu * sth * hemi) + kf * wv)
+    for k in range(k0, k1):
+        t = run.times[k]
+        a = vel(x, y, t)
+        b = vel(x + dt / 2 * a[0], y + dt / 2 * a[1], t + h / 2)
+        d = vel(x + dt / 2 * b[0], y + dt / 2 * b[1], t + h / 2)
+        e = vel(x + dt * d[0], y + dt * d[1], t + h)
+        nx = x + dt / 6 * (a[0] + 2 * b[0] + 2 * d[0] + e[0])
+        ny = y + dt / 6 * (a[1] + 2 * b[1] + 2 * d[1] + e[1])
+        if run.sigma:
+            gx, gy = keyed_normals(incident, pid, k, run.seed)
+            nx, ny = nx + run.sigma * gx, ny + run.sigma * gy
+        if len(edges):
+            beached = beached | ashore(edges, la0 + ny / my, lo0 + nx / mx)
+            nx, ny = np.where(beached, x, nx), np.where(beached, y, ny)
+        x, y = nx, ny
+        if run.recorded(k):
+            out.append((run.times[k + 1], y, x))
+    return x, y, beached
 
 
 def advect(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: float, record_every: int, seed: int,
-           land: DataFrame | None = None, diffusion: bool = True, block: int = 1024, timestep_s: float = C.TIMESTEP_S) -> DataFrame:
+           land: DataFrame | None = None, diffusion: bool = True, block: int = 1024, timestep_s: float = C.TIMESTEP_S, whole_field: int = WHOLE_FIELD) -> DataFrame:
     """RK4 advection of every incident's cloud over `hours` (negative = backwards) -> `drift_pos`.
 
     Work unit = (incident, block of `block` particles) with that incident's grid slice and the land edges of its grid
     box: its size is set by the grid and the block, not by the data, and a crowded incident becomes many units.
-    The metric frame and the hemisphere come from the cloud's mean seed, computed once per incident.
+    The metric frame and the hemisphere come from the cloud's mean seed, computed once per incident. Fields with more than
+    `whole_field` cells are cut into tiles instead (`advect_tiled`), with the same result.
     """
+    if not cells.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole_field).isEmpty():
+        return advect_tiled(seeds, incidents, cells, hours=hours, record_every=record_every, seed=seed, land=land,
+                            diffusion=diffusion, block=block, timestep_s=timestep_s)
     mean = seeds.groupBy("incident_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"), F.count(F.lit(1)).alias("_n"))
     s = seeds.join(mean, "incident_id").withColumn(
         "blk", F.pmod(F.xxhash64("particle_id"), F.ceil(F.col("_n") / block)).cast("int")).drop("_n")
@@ -152,51 +212,21 @@ def advect(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: f
                      F.col("lon2").alias("wu"), F.col("lat2").alias("wv"), F.lit(0.0).alias("cu"), F.lit(0.0).alias("cv")).distinct()
         ctx = ctx.unionByName(blks.join(e, "field_id").withColumn("kind", F.lit(1)).drop("field_id"))
 
-    total_s = hours * 3600.0
-    n_steps = max(int(abs(total_s) / timestep_s), 1)
-    dt = math.copysign(abs(total_s) / n_steps, total_s)
-    sigma = math.sqrt(2.0 * C.DIFFUSIVITY * abs(dt)) if diffusion else 0.0
-    cth, sth = math.cos(math.radians(C.WIND_DEFLECTION_DEG)), math.sin(math.radians(C.WIND_DEFLECTION_DEG))
-    wf, cf, kf = C.WIND_FACTOR, C.CURRENT_FACTOR, C.STOKES_FACTOR
+    run_ = Run(hours, timestep_s, record_every, seed, diffusion)
 
     def run(key, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if p.empty or not (c.kind == 0).any():
             return pd.DataFrame({k: [] for k in ("incident_id", "particle_id", "t_h", "lat", "lon", "beached")})
         fld, edges = GridField(c[c.kind == 0]), c.loc[c.kind == 1, ["ti", "lon", "lat", "wu", "wv"]].to_numpy(float)
         la0, lo0 = float(p.lat0.iloc[0]), float(p.lon0.iloc[0])
-        r = math.radians(la0)
-        my = 111_132.92 - 559.82 * math.cos(2 * r) + 1.175 * math.cos(4 * r)
-        mx = max(111_412.84 * math.cos(r) - 93.5 * math.cos(3 * r), 1e-6)
-        hemi = 1.0 if la0 >= 0 else -1.0
+        mx, my = metres_per_degree(la0)
         x, y = (p.lon.to_numpy() - lo0) * mx, (p.lat.to_numpy() - la0) * my
         pid = p.particle_id.to_numpy()
-
-        def vel(x, y, t):
-            wu, wv, cu, cv = fld.at(t, la0 + y / my, lo0 + x / mx)
-            return (cf * cu + wf * (wu * cth + wv * sth * hemi) + kf * wu,
-                    cf * cv + wf * (wv * cth - wu * sth * hemi) + kf * wv)
-        t, beached = 0.0, np.zeros(len(p), bool)
-        out = [(t, la0 + y / my, lo0 + x / mx)]
-        for k in range(n_steps):
-            h = dt / 3600.0
-            a = vel(x, y, t)
-            b = vel(x + dt / 2 * a[0], y + dt / 2 * a[1], t + h / 2)
-            d = vel(x + dt / 2 * b[0], y + dt / 2 * b[1], t + h / 2)
-            e = vel(x + dt * d[0], y + dt * d[1], t + h)
-            nx = x + dt / 6 * (a[0] + 2 * b[0] + 2 * d[0] + e[0])
-            ny = y + dt / 6 * (a[1] + 2 * b[1] + 2 * d[1] + e[1])
-            if sigma:
-                gx, gy = keyed_normals(int(key[0]), pid, k, seed)
-                nx, ny = nx + sigma * gx, ny + sigma * gy
-            if len(edges):
-                beached |= ashore(edges, la0 + ny / my, lo0 + nx / mx)
-                nx, ny = np.where(beached, x, nx), np.where(beached, y, ny)
-            x, y, t = nx, ny, t + h
-            if (k + 1) % record_every == 0 or k == n_steps - 1:
-                out.append((t, la0 + y / my, lo0 + x / mx))
+        out = [(0.0, y, x)]
+        x, y, beached = integrate(run_, 0, run_.n_steps, fld, edges, int(key[0]), pid, la0, lo0, x, y, np.zeros(len(p), bool), out)
         return pd.DataFrame({
             "incident_id": int(key[0]), "particle_id": np.tile(pid, len(out)), "t_h": np.repeat([o[0] for o in out], len(pid)),
-            "lat": np.concatenate([o[1] for o in out]), "lon": np.concatenate([o[2] for o in out]),
+            "lat": np.concatenate([la0 + o[1] / my for o in out]), "lon": np.concatenate([lo0 + o[2] / mx for o in out]),
             "beached": np.tile(beached, len(out))})
 
     keys = ["incident_id", "blk"]
@@ -208,6 +238,122 @@ def advect(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: f
     return s.groupBy(*keys).cogroup(ctx.groupBy(*keys)).applyInPandas(run, _POS)
 
 
+def _field_frame(cells: DataFrame) -> DataFrame:
+    """Per field: box, grid size, time range and a bound of the drift speed (interpolation cannot exceed a cell's own)."""
+    speed = (C.CURRENT_FACTOR * F.hypot("cu", "cv") + (C.WIND_FACTOR + C.STOKES_FACTOR) * F.hypot("wu", "wv")).alias("_v")
+    return cells.groupBy("field_id").agg(
+        F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), (F.max("yi") + 1).alias("ny"),
+        (F.max("xi") + 1).alias("nx"), F.min("t_h").alias("ta"), F.max("t_h").alias("tb"), (F.max("ti") + 1).alias("nt"), F.max(speed).alias("v"))
+
+
+def _tile_range(index: Column, reach: Column, size: Column) -> tuple[Column, Column]:
+    """First and last grid line that particles around grid index `index` may need within `reach` lines."""
+    return geo.clip(F.floor(index - reach) - 1, 0, size - 1), geo.clip(F.ceil(index + reach) + 1, 0, size - 1)
+
+
+def tile_units(cur: DataFrame, frame: DataFrame, run: Run, k0: int, k1: int, tile: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Particles with their unit (incident, tile, block), and per unit the grid lines and time planes that steps k0 to k1 can touch."""
+    lin = lambda v, lo, hi, n: geo.clip((v - F.col(lo)) / F.greatest(F.col(hi) - F.col(lo), F.lit(1e-9)), 0, 1) * (F.col(n) - 1)
+    p = cur.join(broadcast_if_small(frame), "field_id")
+    p = p.withColumn("_iy", lin(F.col("lat0") + F.col("y") / F.col("my"), "s", "n", "ny")).withColumn("_ix", lin(F.col("lon0") + F.col("x") / F.col("mx"), "w", "e", "nx"))
+    p = p.withColumn("ty", F.floor(F.col("_iy") / tile)).withColumn("tx", F.floor(F.col("_ix") / tile))
+    unit = ["incident_id", "ty", "tx"]
+    n = p.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
+    p = p.join(n, unit).withColumn("blk", F.pmod(F.xxhash64("particle_id"), F.ceil(F.col("_n") / block)).cast("int"))
+    # every step moves at most dt * v and the largest value that the noise can take (8.7 deviations)
+    metres = (k1 - k0 + 1) * (abs(run.dt) * F.col("v") + 8.7 * run.sigma)
+    lines = lambda lo, hi, n, m: metres / F.col(m) / F.greatest((F.col(hi) - F.col(lo)) / F.greatest(F.col(n) - 1, F.lit(1)), F.lit(1e-9))
+    y0, y1 = _tile_range(F.col("_iy"), lines("s", "n", "ny", "my"), F.col("ny"))
+    x0, x1 = _tile_range(F.col("_ix"), lines("w", "e", "nx", "mx"), F.col("nx"))
+    times = sorted((run.times[k0], run.times[k1]))
+    plane = lambda t: (F.lit(t) - F.col("ta")) / F.greatest(F.col("tb") - F.col("ta"), F.lit(1e-9)) * (F.col("nt") - 1)
+    t0, t1 = geo.clip(F.floor(plane(times[0])) - 1, 0, F.col("nt") - 1), geo.clip(F.ceil(plane(times[1])) + 1, 0, F.col("nt") - 1)
+    need = p.groupBy(*unit, "blk", "field_id").agg(F.min(y0).alias("y0"), F.max(y1).alias("y1"), F.min(x0).alias("x0"), F.max(x1).alias("x1"),
+                                                   F.min(t0).alias("t0"), F.max(t1).alias("t1"))
+    return p.select(*cur.columns, "ty", "tx", "blk"), need
+
+
+def tile_context(need: DataFrame, cells: DataFrame, land: DataFrame | None, frame: DataFrame, tile: int) -> DataFrame:
+    """Grid cells (kind 0) and land edges (kind 1) of each unit: an equi-join on the tiles that its lines cross."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile)))
+    u = need.withColumn("_by", span("y0", "y1")).withColumn("_bx", span("x0", "x1"))
+    grid = cells.select("field_id", "ti", "yi", "xi", "t_h", "lat", "lon", "wu", "wv", "cu", "cv",
+                        F.floor(F.col("yi") / tile).alias("_by"), F.floor(F.col("xi") / tile).alias("_bx"))
+    key = ["incident_id", "ty", "tx", "blk"]
+    cols = [*key, "kind", "ti", "yi", "xi", "t_h", "lat", "lon", "wu", "wv", "cu", "cv"]
+    own = F.col("yi").between(F.col("y0"), F.col("y1")) & F.col("xi").between(F.col("x0"), F.col("x1")) & F.col("ti").between(F.col("t0"), F.col("t1"))
+    ctx = u.join(grid, ["field_id", "_by", "_bx"]).filter(own).withColumn("kind", F.lit(0)).select(*cols)
+    if land is None:
+        return ctx
+    at = lambda lo, hi, n, i: F.col(lo) + F.col(i) * (F.col(hi) - F.col(lo)) / F.greatest(F.col(n) - 1, F.lit(1))
+    box = need.join(broadcast_if_small(frame), "field_id").select(
+        *key, at("s", "n", "ny", "y0").alias("_s"), at("s", "n", "ny", "y1").alias("_n"), at("w", "e", "nx", "x0").alias("_w"))
+    near = box.withColumn("_cy", F.explode(F.sequence(F.floor("_s"), F.floor("_n"))))
+    e = land.withColumn("_cy", F.explode(F.sequence(F.floor(F.least("lat1", "lat2")), F.floor(F.greatest("lat1", "lat2")))))
+    e = near.join(e, "_cy").filter((F.greatest("lat1", "lat2") >= F.col("_s")) & (F.least("lat1", "lat2") <= F.col("_n")) & (F.greatest("lon1", "lon2") >= F.col("_w")))
+    e = e.select(*key, F.lit(1).alias("kind"), F.abs(F.xxhash64("zone_id", "part") % 1_000_000).cast("int").alias("ti"), F.lit(0).alias("yi"), F.lit(0).alias("xi"),
+                 F.lit(0.0).alias("t_h"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon"), F.col("lon2").alias("wu"), F.col("lat2").alias("wv"),
+                 F.lit(0.0).alias("cu"), F.lit(0.0).alias("cv")).distinct()
+    return ctx.unionByName(e)
+
+
+def _segment(run: Run, state: list[str], k0: int, k1: int):
+    """Steps k0 to k1 of one unit: recorded rows, and the state that the next segment starts from."""
+    def go(key, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        cols = [*state, "t_h", "recorded", "last"]
+        if p.empty or not (c.kind == 0).any():
+            return p.head(0).assign(t_h=0.0, recorded=False, last=False)[cols]
+        g = c[c.kind == 0].copy()
+        for i in ("ti", "yi", "xi"):
+            g[i] -= g[i].min()
+        edges = c.loc[c.kind == 1, ["ti", "lon", "lat", "wu", "wv"]].to_numpy(float)
+        out: list = []
+        x, y, beached = integrate(run, k0, k1, GridField(g), edges, int(key[0]), p.particle_id.to_numpy(), float(p.lat0.iloc[0]), float(p.lon0.iloc[0]),
+                                  p.x.to_numpy(), p.y.to_numpy(), p.beached.to_numpy(bool), out)
+        rows = [p.assign(x=o[2], y=o[1], t_h=o[0], recorded=True, last=False) for o in out]
+        rows.append(p.assign(x=x, y=y, beached=beached, t_h=run.times[k1], recorded=False, last=True))
+        return pd.concat(rows)[cols]
+    return go
+
+
+def advect_tiled(seeds: DataFrame, incidents: DataFrame, cells: DataFrame, *, hours: float, record_every: int, seed: int,
+                 land: DataFrame | None = None, diffusion: bool = True, block: int = 1024, timestep_s: float = C.TIMESTEP_S,
+                 tile: int = 32, segment: int = 36) -> DataFrame:
+    """`advect` for fields too large for a task: the run is cut into segments of `segment` steps, and for each segment the
+    particles are dealt to space tiles anew. A unit holds the planes of its segment and the tile's grid lines with a halo as
+    wide as a particle can get. Positions go on in metres from the incident's frame, so dealing does not change them.
+    """
+    run = Run(hours, timestep_s, record_every, seed, diffusion)
+    cells = cells.select("field_id", "ti", "yi", "xi", "t_h", "lat", "lon", "wu", "wv", "cu", "cv")
+    frame = durable(_field_frame(cells))
+    mean = seeds.groupBy("incident_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+    r = F.radians("lat0")
+    cur = seeds.join(mean, "incident_id").join(incidents.select("incident_id", "field_id"), "incident_id")
+    cur = cur.withColumn("mx", F.greatest(111_412.84 * F.cos(r) - 93.5 * F.cos(3 * r), F.lit(1e-6))).withColumn(
+        "my", 111_132.92 - 559.82 * F.cos(2 * r) + 1.175 * F.cos(4 * r))
+    cur = durable(cur.select("incident_id", "particle_id", "field_id", "lat0", "lon0", "mx", "my", ((F.col("lon") - F.col("lon0")) * F.col("mx")).alias("x"),
+                             ((F.col("lat") - F.col("lat0")) * F.col("my")).alias("y"), F.lit(False).alias("beached")))
+    state = [f.name for f in cur.schema.fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cur.schema.fields) + ", t_h double, recorded boolean, last boolean"
+    parts = [cur.select(*PKEY, F.lit(0.0).alias("t_h"), "lat0", "lon0", "mx", "my", "x", "y")]
+    key = ["incident_id", "ty", "tx", "blk"]
+    for k0 in range(0, run.n_steps, segment):
+        k1 = min(k0 + segment, run.n_steps)
+
+        units, need = tile_units(cur, frame, run, k0, k1, tile, block)
+        need = durable(need)
+        ctx = tile_context(need, cells, land, frame, tile)
+        tasks = max(1, min(need.count(), 2 * seeds.sparkSession.sparkContext.defaultParallelism + need.count() // 32))
+        done = durable(units.repartition(tasks, *key).groupBy(*key).cogroup(ctx.repartition(tasks, *key).groupBy(*key)).applyInPandas(_segment(run, state, k0, k1), schema))
+        parts.append(done.filter("recorded").select(*PKEY, "t_h", "lat0", "lon0", "mx", "my", "x", "y"))
+        cur = done.filter("last").select(*state)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    lat, lon = F.col("lat0") + F.col("y") / F.col("my"), F.col("lon0") + F.col("x") / F.col("mx")
+    return out.join(cur.select(*PKEY, "beached"), PKEY).select(*PKEY, "t_h", lat.alias("lat"), lon.alias("lon"), "beached")
+
+
 def drift_path(series: DataFrame, dt_s: float) -> DataFrame:
     """Column drift where the field varies only in time: per step Simpson's rule, then a running sum.
     `series` (incident_id, step, u0, um, u1, v0, vm, v1); the steps of one incident are bounded by the horizon."""
