@@ -5,8 +5,9 @@ segmentations into pieces (forward algorithm); a text's is the product over its
 training documents. Probabilities are learned by expectation-maximisation: expected piece counts over all segmentations
 (forward-backward), summed by Spark, smoothed and normalised. Nothing but the text enters a prediction.
 
-Words are runs of letters, lower-cased, with the vocabulary's word mark in front; runs over MAX_WORD letters are cut there. A
-letter outside the vocabulary has a small floor. Null texts and texts without a letter are `und`, score 0. Documents without
+Words are whole runs of letters, lower-cased, with the vocabulary's word mark in front, whatever their length: sums are rescaled
+as they go. All letter pieces of the vocabulary take part. A letter outside the vocabulary has a small floor. Very long texts
+are words like any others; ties go to the first language in order; extra columns are ignored; an empty table gives no rows. Null texts and texts without a letter are `und`, score 0. Documents without
 a language or with a null id are not learned from (`held_out` is false for a null id); repeated rows count as often as they
 come; without any labelled document all is `und`.
 """
@@ -23,8 +24,8 @@ from wakeline.llm.common import durable
 
 TRAIN_DOCS = 1000        # documents of each language that the probabilities are fitted on (the bound of the sample)
 ROUNDS = 4               # expectation-maximisation rounds
-MAX_PIECE = 8            # longest piece used, in characters
-MAX_WORD = 30            # letters of a word scored as one
+LONG = 64                # characters from which a word is summed on its own, not in a matrix with others
+RESCALE = 16             # places after which running sums are rescaled
 FLOOR = 1e-7             # probability of a letter outside the vocabulary
 SMOOTH = 0.02            # pseudo-count of each piece
 MAX_WORDS = 300_000      # words whose scores a worker remembers
@@ -39,14 +40,15 @@ def load_pieces(model_path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    return [p for p in pieces if len(p) <= MAX_PIECE and (p == MARK or (b := p.removeprefix(MARK)).isalpha() and b == b.lower())]
+    return [p for p in pieces if p == MARK or (b := p.removeprefix(MARK)).isalpha() and b == b.lower()]
 
 
 class Lattice:
     """Piece look-up and forward/backward sums for many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
+        self.row = {p: i for i, p in enumerate(pieces)}
         keys = np.array([self._hash(np.array([list(map(ord, p))], np.uint64))[0, -1] for p in pieces], np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
@@ -64,9 +66,9 @@ class Lattice:
     def spans(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """Row of the probability table for each (start, end): a piece, n (nothing) or n + 1 (unknown letter)."""
         h, out = self._hash(codes), {}
-        power = np.multiply.accumulate(np.append(np.uint64(1), np.full(MAX_PIECE, _BASE)))
+        power = np.multiply.accumulate(np.append(np.uint64(1), np.full(self.longest, _BASE)))
         for j in range(1, codes.shape[1] + 1):
-            for m in range(1, min(j, MAX_PIECE) + 1):
+            for m in range(1, min(j, self.longest) + 1):
                 k = h[:, j - 1] - (h[:, j - m - 1] * power[m] if j > m else np.uint64(0))
                 at = np.minimum(np.searchsorted(self.keys, k), self.n - 1)
                 hit = self.keys[at] == k
@@ -75,9 +77,9 @@ class Lattice:
 
     @staticmethod
     def by_length(words: list[str]):
-        """Groups of equal length: positions in `words` and the matrix of characters."""
+        """Groups of equal length, long words left out: positions in `words` and the matrix of characters."""
         size = np.array([len(w) for w in words])
-        for n in np.unique(size):
+        for n in np.unique(size[size < LONG]):
             at = np.flatnonzero(size == n)
             flat = "".join([words[i] for i in at]).encode("utf-32-le", "surrogatepass")
             yield at, np.frombuffer(flat, "<u4").reshape(len(at), n).astype(np.uint64)
@@ -86,28 +88,86 @@ class Lattice:
         """log of the sum over segmentations, per word and language. table: (n + 2, languages)."""
         out = np.zeros((len(words), table.shape[1]))
         for at, codes in self.by_length(words):
-            out[at] = np.log(np.maximum(self._forward(self.spans(codes), codes.shape, table)[-1], 1e-300))
+            alpha, log = self._forward(self.spans(codes), codes.shape, table)
+            out[at] = np.log(alpha[-1]) + log[-1]
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = self._log_long(w, table)
         return out
 
-    @staticmethod
-    def _forward(spans, shape, table):
-        alpha = [np.ones((shape[0], table.shape[1]))]
+    def _forward(self, spans, shape, table):
+        """Sums up to each place and the logarithms of what they were divided by; a sum is never 0, as single letters have a floor."""
+        alpha, log = [np.ones((shape[0], table.shape[1]))], [np.zeros((shape[0], table.shape[1]))]
         for j in range(1, shape[1] + 1):
-            alpha.append(sum(alpha[j - m] * table[spans[j - m, j]] for m in range(1, min(j, MAX_PIECE) + 1)))
-        return alpha
+            a = sum(alpha[j - m] * table[spans[j - m, j]] for m in range(1, min(j, self.longest) + 1))
+            if j % RESCALE == 0:
+                for k in range(max(0, j - self.longest), j):    # later sums read these: bring them to the new scale
+                    alpha[k] = alpha[k] / a
+                    log[k] = log[k] + np.log(a)
+                alpha.append(np.ones_like(a))
+                log.append(log[j - 1])
+            else:
+                alpha.append(a)
+                log.append(log[j - 1])
+        return alpha, log
+
+    def _edges(self, word: str, j: int):
+        """(length, row) of the pieces that end at place j."""
+        for m in range(1, min(j, self.longest) + 1):
+            row = self.row.get(word[j - m:j], self.n + 1 if m == 1 else None)
+            if row is not None:
+                yield m, row
+
+    def _log_long(self, word: str, table: np.ndarray) -> np.ndarray:
+        last, log = [np.ones(table.shape[1])], np.zeros(table.shape[1])     # sums of the last places, the newest at the end
+        for j in range(1, len(word) + 1):
+            a = sum(last[-m] * table[row] for m, row in self._edges(word, j))
+            last = [*last[1 - self.longest:], a] if len(last) >= self.longest else [*last, a]
+            if j % RESCALE == 0:
+                last, log = [x / a for x in last], log + np.log(a)
+        return np.log(last[-1]) + log
+
+    def _expected_long(self, word: str, count: float, table: np.ndarray, out: np.ndarray) -> None:
+        """Expected counts of one long word, one language: forward sums are kept with their scales, backward ones rolled."""
+        n = len(word)
+        alpha, log = [1.0], [0.0]
+        for j in range(1, n + 1):
+            top = log[-1]
+            a = sum(alpha[j - m] * np.exp(log[j - m] - top) * table[row] for m, row in self._edges(word, j))
+            alpha.append(1.0 if j % RESCALE == 0 else a)
+            log.append(top + np.log(a) if j % RESCALE == 0 else top)
+        whole = np.log(alpha[n]) + log[n]
+        beta = {n: 0.0}     # logarithms
+        for j in range(n, 0, -1):
+            b = beta.pop(j)
+            for m, row in self._edges(word, j):
+                i, p = j - m, np.log(table[row])
+                out[row] += count * np.exp(np.log(alpha[i]) + log[i] + p + b - whole)
+                beta[i] = np.logaddexp(beta[i], p + b) if i in beta else p + b
 
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces over all segmentations, for one language's column `table`."""
         out = np.zeros(self.n + 2)
         for at, codes in self.by_length(words):
             spans, n = self.spans(codes), codes.shape[1]
-            alpha = self._forward(spans, codes.shape, table[:, None])
-            beta = {n: np.ones(len(at))}
-            for i in range(n - 1, -1, -1):
-                beta[i] = sum(table[spans[i, i + m]] * beta[i + m] for m in range(1, min(n - i, MAX_PIECE) + 1))
-            scale = counts[at] / np.maximum(alpha[n][:, 0], 1e-300)
-            for (i, j), row in spans.items():
-                out += np.bincount(row, alpha[i][:, 0] * table[row] * beta[j] * scale, minlength=self.n + 2)
+            alpha, log = self._forward(spans, codes.shape, table[:, None])
+            whole = log[n][:, 0] + np.log(alpha[n][:, 0])
+            beta, scale = {n: np.ones(len(at))}, np.zeros(len(at))
+            for i in range(n - 1, -1, -1):      # sums from place i on, all divided by exp(scale); used before they are rescaled
+                new = np.zeros(len(at))
+                for m in range(1, min(n - i, self.longest) + 1):
+                    row = spans[i, i + m]
+                    part = table[row] * beta[i + m]
+                    new += part
+                    out += np.bincount(row, alpha[i][:, 0] * part * np.exp(log[i][:, 0] + scale - whole) * counts[at], minlength=self.n + 2)
+                beta[i] = new
+                if (n - i) % RESCALE == 0:
+                    for k in range(i, min(n, i + self.longest) + 1):
+                        beta[k] = beta[k] / new
+                    scale = scale + np.log(new)
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                self._expected_long(w, float(counts[i]), table, out)
         return out
 
 
@@ -118,13 +178,7 @@ def _finder():
 
 
 def _words(text: str, find) -> list[str]:
-    out = []
-    for w in find(text.lower()):
-        if len(w) <= MAX_WORD:
-            out.append(MARK + w)
-        else:
-            out += [MARK * (i == 0) + w[i:i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-    return out
+    return [MARK + w for w in find(text.lower())]
 
 
 def _lattice(model_path: str, _made={}) -> Lattice:
@@ -149,6 +203,9 @@ def fit(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS, rounds:
     langs = sorted(shares)
     if not langs:
         return [], np.zeros((3, 0))
+    # the first by hash lie under this share of the hash's range (four times as many are expected there), so no language is ordered whole
+    under = F.create_map(*[F.lit(x) for lang, n in shares.items() for x in (lang, min(1.0, 4 * train_docs / n))])
+    labelled = labelled.filter(F.xxhash64("doc_id") / float(1 << 64) + 0.5 <= F.element_at(under, F.col("lang")))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = durable(labelled.withColumn("_place", first).filter(F.col("_place") <= train_docs).select("doc_id", "lang").distinct())
     sample = docs.filter(~held_out()).select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])   # at most train_docs x languages ids
