@@ -4,7 +4,8 @@ import hashlib
 from collections import defaultdict
 
 import pytest
-from corpus_fixtures import awkward, empty, sorted_rows, with_hot_groups
+import xxhash
+from corpus_fixtures import awkward, empty, prose, sorted_rows, with_hot_groups
 
 from wakeline.llm import imatch, jaccard_join
 from wakeline.llm.suffix_trees import split_words
@@ -85,3 +86,66 @@ def test_imatch_small_tables(spark):
     r = imatch.compare(one).first()
     assert r.near_next == 1.0 and r.near_edited < 1.0
     assert imatch.fingerprints(awkward(spark)).count() == awkward(spark).count()
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hash64(values, seed=42):
+    """64-bit hash of a list of byte strings or longs, each seeded with the hash before it."""
+    for v in values:
+        seed = xxhash.xxh64(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), seed=seed).intdigest()
+    return signed(seed)
+
+
+def brute_prints(texts, terms_of=None):
+    """Fingerprints {slot: 32-bit hash} by plain loops; the lexicon is counted over `texts`."""
+    df = defaultdict(int)
+    for t in texts:
+        for w in set(split_words(t)):
+            df[w] += 1
+    band = [hash64([w]) for w, n in df.items() if max(2, imatch.MIN_SHARE * len(texts)) <= n <= imatch.MAX_SHARE * len(texts)]
+    levels = 1 + (len(band) // imatch.FIRST_SHARE).bit_length()
+    drawn = {h: [j for j in range(levels * imatch.SUBSETS) if hash64([h, j]) % (imatch.FIRST_SHARE << (j // imatch.SUBSETS)) == 0] for h in band}
+
+    def one(text):
+        got = defaultdict(set)
+        for w in split_words(text):
+            for j in drawn.get(hash64([w]), []):
+                got[j].add(hash64([w]))
+        out = {j: hash64(sorted(s)) & 0xFFFFFFFF for j, s in got.items()}
+        return out or {imatch.WHOLE: hash64(split_words(text)) & 0xFFFFFFFF}
+    return one
+
+
+def brute_likeness(a, b):
+    touched = set(a) | set(b)
+    per = defaultdict(int)
+    for s in touched:
+        per[s // imatch.SUBSETS] += 1
+    use = {s for s in touched if 2 * per[s // imatch.SUBSETS] <= imatch.SUBSETS} or touched
+    return sum(a.get(s) == b.get(s) for s in use) / len(use)
+
+
+def test_imatch_equals_brute_force(spark):
+    texts = [prose(i, 30 + 60 * (i % 7), 3000) for i in range(60)] + ["", "solitary", prose(1, 90, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = brute_prints(texts)
+    got = {r.doc_id: r for r in imatch.compare(df).collect()}
+    for i, t in enumerate(texts):
+        follow = texts[i - 1]
+        half = len(t) // 2
+        a, e, n = one(t), one(t[:len(t) - half] + follow[:half]), one(follow)
+        assert got[i].fingerprint == "".join(f"{s:04x}{h:08x}" for s, h in sorted(a.items())), i
+        assert got[i].edited_fingerprint == "".join(f"{s:04x}{h:08x}" for s, h in sorted(e.items())), i
+        assert got[i].near_edited == pytest.approx(brute_likeness(a, e)) and got[i].near_next == pytest.approx(brute_likeness(a, n)), i
+
+
+@pytest.mark.parametrize("n_words", [150, 1500, 12000])
+def test_imatch_half_kept_texts_are_nearer_than_the_next(spark, n_words):
+    texts = [prose(500 + i, n_words, 40 * n_words) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = imatch.compare(df).collect()
+    assert sum(r.near_edited > r.near_next for r in got) >= 38
+    assert sum(r.near_edited for r in got) / len(got) > 0.1

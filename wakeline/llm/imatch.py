@@ -1,13 +1,18 @@
 """I-Match fingerprints: terms in a band of inverse document frequency, sorted and hashed over randomised lexicon subsets.
 
-The lexicon is every term that MIN_SHARE to MAX_SHARE of all documents hold; a random draw by term hash puts each into one of
-SUBSETS subsets. A text's fingerprint is the hash of its sorted distinct terms in each subset that it touches, so a small edit
-changes few of them. The likeness of two fingerprints is the share of touched subsets on which they agree. A text without a
-lexicon term is fingerprinted by its whole word sequence, so unrelated short texts do not meet.
+The lexicon is every term that MIN_SHARE to MAX_SHARE of all documents hold. Randomised subsets are independent draws from it, in
+levels of SUBSETS draws each: a draw of the first level holds one term in FIRST_SHARE, each level after it half as many, until a
+draw holds about one term of the lexicon. A text's fingerprint is the hash of its sorted distinct terms in each subset that it
+touches, so at every length there are levels whose subsets see only a few of a text's terms, and an edit leaves many of them
+alone. The likeness of two fingerprints is the share of touched subsets on which they agree, over the levels where the two
+touch at most half of the draws (all levels if there is none). A text whose terms are in no subset is fingerprinted by its
+whole word sequence, so unrelated short texts do not meet.
 
 DataFrame functions only. A document holds some number of distinct terms, so at most (mean of that number) / MIN_SHARE terms
-reach the band, whatever the corpus size: this bounds the broadcast lexicon. Null texts are empty; texts without a word all
-have the same fingerprint; null ids come last in descending order, ties are ordered by text, repeated rows are neighbours.
+reach the band, whatever the corpus size; the lexicon is counted and broadcast up to MAX_BROADCAST rows, joined by a shuffle
+beyond. Null texts are empty; texts without a word all have the same fingerprint; null ids come last in descending order, ties
+are ordered by text, repeated rows are neighbours. Very long texts are taken whole; an empty table gives no rows; columns beside
+doc_id and text are not read, so their names may clash with those used here.
 """
 
 from __future__ import annotations
@@ -19,30 +24,59 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import durable, words
 
 MIN_SHARE, MAX_SHARE = 0.002, 0.10   # of all documents: the inverse-document-frequency band
-SUBSETS = 128
-WHOLE = 255                          # slot of the whole-text hash of texts without a lexicon term
+SUBSETS = 64                         # draws of a level
+FIRST_SHARE = 64                     # a draw of the first level holds each term with probability 1 / FIRST_SHARE
+WHOLE = 0xFFFF                       # slot of the whole-text hash of texts whose terms are in no subset
+MAX_BROADCAST = 4_000_000            # rows (term, slot)
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, subsets: int = SUBSETS) -> DataFrame:
-    """(term, slot), durable: 64-bit hashes of the terms in the band, counted over all documents."""
+    """(term, slot), durable: 64-bit hashes of the terms in the band, counted over all documents, and the subsets that drew them
+    (slot = level * subsets + draw). The number of levels follows the size of the band."""
     n = docs.count()
     terms = docs.select(F.explode(F.array_distinct(words("text"))).alias("w")).select(F.xxhash64("w").alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    band = df.filter((F.col("df") >= max(2, min_share * n)) & (F.col("df") <= max_share * n))
-    return durable(band.select("term", F.pmod(F.xxhash64("term", F.lit(13)), F.lit(subsets)).cast("int").alias("slot")))
+    band = durable(df.filter((F.col("df") >= max(2, min_share * n)) & (F.col("df") <= max_share * n)).select("term"))
+    levels = 1 + max(0, (band.count() // FIRST_SHARE).bit_length())
 
+    def drawn(level: int) -> Column:
+        first, one_in = level * subsets, F.lit(FIRST_SHARE << level).cast("long")
+        draws = F.sequence(F.lit(first).cast("long"), F.lit(first + subsets - 1).cast("long"))
+        return F.filter(draws, lambda j: F.pmod(F.xxhash64("term", j), one_in) == 0)
+    slots = band.select("term", F.explode(F.concat(*[drawn(v) for v in range(levels)])).alias("slot"))
+    return durable(slots.select("term", F.col("slot").cast("int").alias("slot")))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets touched by either text on which both agree."""
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def likeness(a: Column, b: Column, subsets: int = SUBSETS) -> Column:
+    """Share of the touched subsets on which both agree, over the levels where they touch at most half of the draws."""
     def slots(x):
         return F.transform(x, lambda v: F.shiftright(v, 32))
-    both = F.size(F.array_intersect(slots(a), slots(b)))
-    return F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b) - both)
+
+    def level(slot):
+        return F.floor(slot / F.lit(subsets))
+
+    def agreed(x, y):
+        return F.size(F.array_intersect(x, y)) / F.size(F.array_union(slots(x), slots(y)))
+
+    def crowded(touched):
+        each = F.array_distinct(F.transform(touched, level))
+        return F.filter(each, lambda v: 2 * F.size(F.filter(touched, lambda s: level(s) == v)) > subsets)
+
+    def sparse(x, full):
+        return F.filter(x, lambda v: ~F.array_contains(full, level(F.shiftright(v, 32))))
+    pair = _let(F.array_union(slots(a), slots(b)), lambda t: _let(crowded(t), lambda full: F.struct(
+        sparse(a, full).alias("a"), sparse(b, full).alias("b"))))
+    return _let(pair, lambda p: F.when(F.size(p["a"]) + F.size(p["b"]) > 0, agreed(p["a"], p["b"])).otherwise(agreed(a, b)))
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Two hexadecimal digits of the subset and eight of its hash, subset after subset."""
-    return F.lower(F.array_join(F.transform(fingerprint, lambda v: F.lpad(F.hex(v), 10, "0")), ""))
+    """Four hexadecimal digits of the subset and eight of its hash, subset after subset."""
+    return F.lower(F.array_join(F.transform(fingerprint, lambda v: F.lpad(F.hex(v), 12, "0")), ""))
 
 
 def _sliced(docs: DataFrame) -> DataFrame:
@@ -104,7 +138,8 @@ def _with_facts(texts: DataFrame, lex: DataFrame) -> DataFrame:
     terms = terms.select(*keys, F.when(is_mark, F.col("facts")).alias("facts"), F.when(is_mark, F.col("_whole")).alias("_whole"),
                          F.when(is_mark, F.lit(0)).otherwise(F.xxhash64("_t")).alias("term"), is_mark.alias("_mark"))
     marked = texts.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"), F.lit(-1).alias("slot"), F.lit(True).alias("_mark"))
-    hit = terms.join(F.broadcast(lex.select("term", "slot", F.lit(False).alias("_mark")).unionByName(marked)), ["term", "_mark"])
+    drawn = lex.select("term", "slot", F.lit(False).alias("_mark")).unionByName(marked)
+    hit = terms.join(F.broadcast(drawn) if lex.count() <= MAX_BROADCAST else drawn, ["term", "_mark"])
     per = hit.groupBy(*keys, "slot").agg(F.collect_set("term").alias("_terms"), F.max("_whole").alias("_whole"), F.max("facts").alias("facts"))
     low = F.lit(0xFFFFFFFF)
     h = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.xxhash64(F.sort_array("_terms")).bitwiseAND(low))
