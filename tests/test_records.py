@@ -47,13 +47,13 @@ def test_polygon_with_hole(spark):
     assert {r.id for r in sc.points_in_zones(p, e).collect()} == {2, 3}
 
 
-def test_near_suppression_equals_brute_force(spark):
-    rnd = random.Random(3)
-    rows = [(i, rnd.randrange(0, 12 * 3600) * 1_000_000, 10 + rnd.randrange(8) * 0.03, 70 + rnd.randrange(8) * 0.03, rnd.random() < 0.05,
-             rnd.choice(["SENT", "SENT", "FAILED"])) for i in range(200)]
-    got = {r.alert_id: (r.status, r.dedup_of_id) for r in al.suppress_near(spark.createDataFrame(rows, "alert_id long, t_us long, lat double, lon double, force boolean, outcome string")).collect()}
+ALERTS = "alert_id long, t_us long, lat double, lon double, force boolean, outcome string"
+
+
+def walked(rows):
+    """Sequential walk in order of (time, id)."""
     live, want = [], {}
-    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+    for r in sorted((r for r in rows if None not in r[1:4]), key=lambda r: (r[1], r[0])):
         near = [x[0] for x in live if r[1] - x[1] <= 180 * 60_000_000 and abs(x[2] - r[2]) <= 0.05 and abs(x[3] - r[3]) <= 0.05]
         if near and not r[4]:
             want[r[0]] = ("SUPPRESSED", max(near))
@@ -61,7 +61,38 @@ def test_near_suppression_equals_brute_force(spark):
         want[r[0]] = (r[5], None)
         if r[5] == "SENT":
             live.append(r)
-    assert got == want
+    return want | {r[0]: (r[5], None) for r in rows if None in r[1:4]}
+
+
+def near_verdicts(spark, rows, **blocks):
+    return {r.alert_id: (r.status, r.dedup_of_id) for r in al.suppress_near(spark.createDataFrame(rows, ALERTS), **blocks).collect()}
+
+
+@pytest.mark.parametrize("tile,span", [(64, 8), (1, 1), (2, 1)])
+def test_near_suppression_equals_brute_force(spark, tile, span):
+    rnd = random.Random(3)
+    ids = rnd.sample(range(1000), 400)                                          # ids do not follow the time
+    rows = [(i, rnd.randrange(0, 40 * 3600, 600) * 1_000_000, 10 + rnd.randrange(-8, 8) * 0.03, rnd.randrange(-8, 8) * 0.03, rnd.random() < 0.05,
+             rnd.choice(["SENT", "SENT", "FAILED"])) for i in ids]
+    rows += [(2000, None, 10.0, 0.0, False, "SENT"), (2001, 5, None, 0.0, False, "SENT"), (2002, 5, 10.0, None, None, "FAILED")]
+    assert near_verdicts(spark, rows, tile=tile, span=span) == walked(rows)
+
+
+def test_near_suppression_of_a_regular_chain_takes_few_rounds(spark, monkeypatch):
+    """One alert every two hours: each block that guesses its entry has every other verdict wrong until it sees the true one."""
+    rows = [(k, k * 7_200_000_000, 10.0, 70.0, False, "SENT") for k in range(300)]
+    rounds = []
+    fold = al._fold
+    monkeypatch.setattr(al, "_fold", lambda *a: rounds.append(a[3:]) or fold(*a))
+    assert near_verdicts(spark, rows, span=1) == walked(rows)
+    assert len(rounds) <= 11                                                    # 200 cooldowns are 8 doublings
+
+
+def test_near_suppression_small_tables(spark):
+    assert near_verdicts(spark, []) == {}
+    hot = [(k, 1000 * k, 10.0, 70.0, k % 3 == 0, "SENT") for k in range(30_000)]    # a hot cell, a third of it forced
+    got = near_verdicts(spark, hot)
+    assert got[0] == ("SENT", None) and all(got[k] == (("SENT", None) if k % 3 == 0 else ("SUPPRESSED", k - k % 3)) for k in range(1, 30_000))
 
 
 def test_retry_cap_and_fingerprint(spark):

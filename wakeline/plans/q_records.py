@@ -186,7 +186,19 @@ def a1_exact_suppression(spark, sf):
     return al.suppress_exact(printed(spark, sf)).select("alert_id", "status", "dedup_of_id")
 
 
-@query("a1_near_suppression")
+@query("a1_near_suppression", q("""
+  , near AS MATERIALIZED (SELECT a.alert_id, h.alert_id AS h FROM alert a JOIN alert h ON NOT a.force AND h.outcome <> 'FAILED'
+    AND (h.t_us < a.t_us OR (h.t_us = a.t_us AND h.alert_id < a.alert_id)) AND h.t_us >= a.t_us - 10800000000
+    AND abs(h.lat - a.lat) <= 5e-2 AND abs(h.lon - a.lon) <= 5e-2),
+  walk AS (SELECT alert_id, outcome, CASE WHEN force THEN 'free' ELSE 'open' END AS s, 0 AS n FROM alert
+    UNION ALL
+    SELECT w.alert_id, w.outcome, CASE WHEN w.s <> 'open' THEN w.s WHEN bool_or(p.s = 'free') THEN 'shut' WHEN bool_or(p.s = 'open') THEN 'open' ELSE 'free' END, w.n + 1
+    FROM walk w LEFT JOIN near e USING (alert_id) LEFT JOIN walk p ON p.alert_id = e.h
+    WHERE EXISTS (SELECT 1 FROM walk WHERE s = 'open') GROUP BY w.alert_id, w.outcome, w.s, w.n),
+  done AS (SELECT * FROM walk WHERE n = (SELECT max(n) FROM walk)),
+  original AS (SELECT e.alert_id, max(e.h) AS near_id FROM near e JOIN done d ON d.alert_id = e.h AND d.s = 'free' GROUP BY 1)
+  SELECT d.alert_id, CASE WHEN near_id IS NOT NULL THEN 'SUPPRESSED' ELSE outcome END AS status, near_id AS dedup_of_id
+  FROM done d LEFT JOIN original USING (alert_id)""", "alert"))
 def a1_near_suppression(spark, sf):
     return al.suppress_near(fx.alerts(spark, sf))
 
