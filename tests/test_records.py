@@ -78,6 +78,29 @@ def test_near_suppression_equals_brute_force(spark, tile, span):
     assert near_verdicts(spark, rows, tile=tile, span=span) == walked(rows)
 
 
+@pytest.mark.parametrize("tile,span", [(64, 8), (1, 1)])
+def test_suppression_is_exact_before_near(spark, tile, span):
+    rnd = random.Random(8)
+    rows = []
+    for i in rnd.sample(range(1000), 300):
+        la, lo = (None, None) if rnd.random() < 0.3 else (10 + rnd.randrange(-6, 6) * 0.03, rnd.randrange(-6, 6) * 0.03)
+        kind = rnd.choice(["oil", "ais"])
+        fp = f"{kind} na" if la is None else None if rnd.random() < 0.1 else f"{kind} {round(la / 0.05)} {round(lo / 0.05)}"
+        rows.append((i, rnd.randrange(0, 30 * 3600, 600) * 1_000_000, la, lo, rnd.random() < 0.05, rnd.choice(["SENT", "MOCKED", "FAILED"]), fp))
+    rows += [(2000, None, 10.0, 0.0, False, "SENT", "oil na"), (2001, 5, None, 0.0, False, "SENT", None), (2002, 6, float("nan"), 0.0, None, "SENT", "lone")]
+    live, want = [], {2000: ("SENT", None), 2001: ("SENT", None), 2002: ("SENT", None)}
+    for r in sorted((r for r in rows if r[0] < 2000), key=lambda r: (r[1], r[0])):
+        held = [x for x in live if r[1] - x[1] <= 180 * 60_000_000]
+        same = [x[0] for x in held if r[6] is not None and x[6] == r[6]]
+        near = [x[0] for x in held if r[2] is not None and x[2] is not None and abs(x[2] - r[2]) <= 0.05 and abs(x[3] - r[3]) <= 0.05]
+        dup = max(same or near, default=None)
+        want[r[0]] = (r[5], None) if r[4] or dup is None else ("SUPPRESSED", dup)
+        if want[r[0]][0] in ("SENT", "MOCKED"):
+            live.append(r)
+    df = spark.createDataFrame(rows, ALERTS + ", fingerprint string")
+    assert {r.alert_id: (r.status, r.dedup_of_id) for r in al.suppress(df, tile=tile, span=span).collect()} == want
+
+
 def test_near_suppression_of_a_regular_chain_takes_few_rounds(spark, monkeypatch):
     """One alert every two hours: each block that guesses its entry has every other verdict wrong until it sees the true one."""
     rows = [(k, k * 7_200_000_000, 10.0, 70.0, False, "SENT") for k in range(300)]

@@ -203,6 +203,29 @@ def a1_near_suppression(spark, sf):
     return al.suppress_near(fx.alerts(spark, sf))
 
 
+@query("a1_suppression", q("""
+  , posted AS (SELECT alert_id, t_us, force, outcome, CASE WHEN event_type <> 'signup' THEN lat END AS lat, CASE WHEN event_type <> 'signup' THEN lon END AS lon,
+    CASE WHEN event_type <> 'signup' THEN fingerprint ELSE substr(sha256('anomaly|na|na|' || time_bucket || '|-'), 1, 24) END AS fp FROM printed),
+  prior AS MATERIALIZED (SELECT a.alert_id, h.alert_id AS h, a.fp = h.fp AS same FROM posted a JOIN posted h ON NOT a.force AND h.outcome <> 'FAILED'
+    AND (h.t_us < a.t_us OR (h.t_us = a.t_us AND h.alert_id < a.alert_id)) AND h.t_us >= a.t_us - 10800000000
+    AND (a.fp = h.fp OR (abs(h.lat - a.lat) <= 5e-2 AND abs(h.lon - a.lon) <= 5e-2))),
+  walk AS (SELECT alert_id, outcome, CASE WHEN force THEN 'free' ELSE 'open' END AS s, 0 AS n FROM posted
+    UNION ALL
+    SELECT w.alert_id, w.outcome, CASE WHEN w.s <> 'open' THEN w.s WHEN bool_or(p.s = 'free') THEN 'shut' WHEN bool_or(p.s = 'open') THEN 'open' ELSE 'free' END, w.n + 1
+    FROM walk w LEFT JOIN prior e USING (alert_id) LEFT JOIN walk p ON p.alert_id = e.h
+    WHERE EXISTS (SELECT 1 FROM walk WHERE s = 'open') GROUP BY w.alert_id, w.outcome, w.s, w.n),
+  done AS (SELECT * FROM walk WHERE n = (SELECT max(n) FROM walk)),
+  original AS (SELECT e.alert_id, coalesce(max(e.h) FILTER (same), max(e.h)) AS dup FROM prior e JOIN done d ON d.alert_id = e.h AND d.s = 'free' GROUP BY 1)
+  SELECT d.alert_id, CASE WHEN dup IS NOT NULL THEN 'SUPPRESSED' ELSE outcome END AS status, dup AS dedup_of_id
+  FROM done d LEFT JOIN original USING (alert_id)""", "printed"))
+def a1_suppression(spark, sf):
+    """Exact before near; alerts that stem from sign-ups have no place."""
+    a = fx.alerts(spark, sf)
+    here = lambda c: F.when(F.col("event_type") != "signup", F.col(c))
+    a = a.withColumns({"lat": here("lat"), "lon": here("lon")})
+    return al.suppress(a.withColumns(al.fingerprint(F.col("kind"), F.col("lat"), F.col("lon"), F.col("t_us") / 1e6)))
+
+
 @query("a2_delivery_outcomes", q("""
   SELECT alert_id, CASE WHEN due AND NOT capped THEN CASE WHEN o IN ('SENT', 'MOCKED') THEN o ELSE 'FAILED' END ELSE outcome END AS status,
     CAST(attempts + CASE WHEN due AND NOT capped THEN 1 ELSE 0 END AS INTEGER) AS attempts, CASE WHEN due THEN 2 ELSE 1 END AS log_entries,
