@@ -54,6 +54,10 @@ def test_archives_round_trip_in_global_order(spark, tmp_path):
     want = Counter((i, len(p or ""), "revisit" if p in first and first[p] != i else "response", first[p] if p in first and first[p] != i else None) for i, _, _, p in rows)
     assert Counter((r.id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
     assert warc_index.archive(df.limit(0)).count() == 0
+    placed = warc_index.global_places(index).collect()                          # seven captures a bucket, one order over all of them
+    assert sorted(r.place for r in placed) == list(range(len(placed)))
+    keys = [(r.urlkey, r.ts, r.id is None, r.id or 0) for r in sorted(placed, key=lambda r: r.place)]
+    assert keys == sorted(keys)
 
 
 def test_language_held_out(spark):

@@ -90,19 +90,24 @@ def op5(spark, sf):
     return language_id.identify(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@_query("op2_warc_index", """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+@_query("op2_warc_index", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, trim(url) AS u FROM pages),
+d AS (SELECT page_id, u, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+  string_split(regexp_replace(lower(regexp_extract(u, '^[^:/]+://([^/?#]*)', 1)), '^www\.', ''), '.') AS labels,
+  regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS args FROM d),
+k AS (SELECT *, CASE WHEN coalesce(u, '') = '' THEN '' ELSE array_to_string(list_reverse(labels), ',') || ')' ||
+  CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN args = '' THEN '' ELSE '?' || args END END AS urlkey, 1700000000 + page_id AS ts FROM f)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
-FROM f""")
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to,
+  urlkey, ts, row_number() OVER (ORDER BY urlkey, ts, page_id) - 1 AS place
+FROM k""")
 def op2(spark, sf):
     pages = _table(spark, sf, "pages").select(
         F.col("page_id").alias("id"), "url", (F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))).alias("ts"), F.col("html").alias("payload"))
     return warc_index.archive(pages).select(
-        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "place")
 
 
 @_query("op4_imatch")

@@ -19,6 +19,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import durable, join_facts, row_keys, whole_groups
@@ -223,8 +224,18 @@ def archive_folder(spark) -> str:
     return folder if "://" in folder else "file:///" + folder.lstrip("/")
 
 
+def global_places(index: DataFrame) -> DataFrame:
+    """`place` inside a bucket made the place in the whole index. There are no more buckets than shuffle partitions, so the table
+    of their first places is small whatever the number of captures."""
+    w = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select("bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_first"))
+    return index.join(F.broadcast(first), "bucket").withColumn("place", F.col("place") + F.col("_first")).drop("_first")
+
+
 def archive(captures: DataFrame) -> DataFrame:
-    """Write, merge the index, and read every indexed record back. captures: id, url, ts, payload."""
+    """Write, merge the index, and read every indexed record back. captures: id, url, ts, payload. `place` is the capture's
+    position in the global order of (urlkey, ts, id); captures of a URL are neighbours there, so it orders their history."""
     folder = archive_folder(captures.sparkSession)
-    index = merge_runs(write_archives(captures, folder))
+    index = global_places(durable(merge_runs(write_archives(captures, folder))))
     return index.select("urlkey", "ts", "file", "offset", "length", "bucket", "place").join(read_archives(captures.sparkSession, folder), ["file", "offset"])
