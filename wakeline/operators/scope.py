@@ -2,51 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.labels import chain
+from wakeline.operators.cover import candidates, cell_cover, inside
 from wakeline.operators.spatial import salted_join
 
 
-def edge_cells(edges: DataFrame, cell_deg: float, buffer_deg: float = 0.0, key: str = "zone_id") -> DataFrame:
-    """Zone parts on a cell grid; each cell row carries only the edges that cross the cell's latitude band, so a long
-    coastline never travels whole."""
-    box = edges.groupBy(key, "part").agg(
-        F.least(F.min("lon1"), F.min("lon2")).alias("w"), F.greatest(F.max("lon1"), F.max("lon2")).alias("e"),
-        F.least(F.min("lat1"), F.min("lat2")).alias("s"), F.greatest(F.max("lat1"), F.max("lat2")).alias("n"))
-    b = buffer_deg
-    band = edges.select(key, "part", F.struct("lon1", "lat1", "lon2", "lat2").alias("e"), F.explode(F.sequence(
-        F.floor((F.least("lat1", "lat2") - b) / cell_deg), F.floor((F.greatest("lat1", "lat2") + b) / cell_deg))).alias("_cy"))
-    packed = band.groupBy(key, "part", "_cy").agg(F.collect_list("e").alias("edges"))
-    return (packed.join(box, [key, "part"])
-            .withColumn("_cx", F.explode(F.sequence(F.floor((F.col("w") - b) / cell_deg), F.floor((F.col("e") + b) / cell_deg)))))
-
-
-def _inside(lat: Column, lon: Column, boundary: bool) -> Column:
-    """Even-odd crossings over the band edges; a point on an edge counts only if `boundary`."""
-    def crosses(e):
-        span = (e["lat1"] > lat) != (e["lat2"] > lat)
-        x = (e["lon2"] - e["lon1"]) * (lat - e["lat1"]) / F.when(span, e["lat2"] - e["lat1"]) + e["lon1"]
-        return span & (lon < x)
-
-    def touches(e):
-        cross = (e["lon2"] - e["lon1"]) * (lat - e["lat1"]) - (e["lat2"] - e["lat1"]) * (lon - e["lon1"])
-        return ((F.abs(cross) <= 1e-12) & lat.between(F.least(e["lat1"], e["lat2"]), F.greatest(e["lat1"], e["lat2"]))
-                & lon.between(F.least(e["lon1"], e["lon2"]), F.greatest(e["lon1"], e["lon2"])))
-    odd = F.size(F.filter("edges", lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    on = F.exists("edges", touches)
-    return (odd | on) if boundary else (odd & ~on)
-
-
-def points_in_zones(points: DataFrame, edges: DataFrame, *, boundary: bool = True, cell_deg: float = 1.0,
+def points_in_zones(points: DataFrame, edges: DataFrame, *, boundary: bool = True, cell_deg: float = 2.0,
                     key: str = "zone_id") -> DataFrame:
     """`points` (any columns with lat, lon) joined to every zone that covers them."""
-    p = (points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-         .withColumn("_cy", F.floor(F.col("lat") / cell_deg)).withColumn("_cx", F.floor(F.col("lon") / cell_deg)))
-    j = salted_join(p, edge_cells(edges, cell_deg, key=key), ["_cy", "_cx"]).filter(
-        F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
-    hit = j.filter(_inside(F.col("lat"), F.col("lon"), boundary))
+    p = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    hit = candidates(p, cell_cover(edges, cell_deg=cell_deg, key=key)).filter(inside(boundary))
     return hit.select(*points.columns, key).distinct()
 
 
@@ -100,14 +68,14 @@ def row_zones(rows: DataFrame, edges: DataFrame, zones: DataFrame, key: str = "i
 def visible(rows: DataFrame, scope_closure: DataFrame, edges: DataFrame, zones: DataFrame, key: str = "id") -> DataFrame:
     """(scope_id, key) pairs a scope may see. A row meets at most the ancestors of its few zones, never all scopes."""
     cl = scope_closure.select("scope_id", "zone_id")
-    return row_zones(rows, edges, zones, key).join(cl, "zone_id").select("scope_id", key).distinct()
+    return salted_join(row_zones(rows, edges, zones, key), cl, ["zone_id"]).select("scope_id", key).distinct()
 
 
 def visible_vessels(anomalies: DataFrame, scope_closure: DataFrame, edges: DataFrame) -> DataFrame:
     """Vessels linked to an anomaly whose point lies in the closure."""
     hit = points_in_zones(anomalies.filter(F.col("vessel_id").isNotNull()).select("id", "vessel_id", "lat", "lon"), edges)
-    return (hit.select("vessel_id", "zone_id").distinct().join(scope_closure, "zone_id")
-            .select("scope_id", "vessel_id").distinct())
+    linked = hit.select("vessel_id", "zone_id").distinct()
+    return salted_join(linked, scope_closure.select("scope_id", "zone_id"), ["zone_id"]).select("scope_id", "vessel_id").distinct()
 
 
 def subset(owned: DataFrame, scope_closure: DataFrame, owner: str = "user_id") -> DataFrame:
@@ -158,11 +126,10 @@ def page(rows: DataFrame, offset: int, limit: int, key: str = "id") -> DataFrame
     return rows.orderBy(F.col(key).desc()).offset(offset).limit(limit)
 
 
-def is_land(points: DataFrame, land_edges: DataFrame, *, buffer_km: float = 0.0, cell_deg: float = 1.0, key: str = "id") -> DataFrame:
+def is_land(points: DataFrame, land_edges: DataFrame, *, buffer_km: float = 0.0, cell_deg: float = 2.0, key: str = "id") -> DataFrame:
     """Add `on_land`: strictly inside a polygon, or within `buffer_km` / 111 degrees of its outline."""
     b = buffer_km / 111.0
-    p = (points.select(key, "lat", "lon").withColumn("_cy", F.floor(F.col("lat") / cell_deg))
-         .withColumn("_cx", F.floor(F.col("lon") / cell_deg)))
+    p = points.select(key, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     lat, lon = F.col("lat"), F.col("lon")
 
     def close(e):
@@ -171,11 +138,11 @@ def is_land(points: DataFrame, land_edges: DataFrame, *, buffer_km: float = 0.0,
         t = F.when(len2 > 0, ((lon - e["lon1"]) * dx + (lat - e["lat1"]) * dy) / F.when(len2 > 0, len2)).otherwise(0.0)
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
         return F.hypot(lon - e["lon1"] - t * dx, lat - e["lat1"] - t * dy) < b
-    j = salted_join(p, edge_cells(land_edges, cell_deg, b), ["_cy", "_cx"])
-    hit = _inside(lat, lon, False)
+    hit = inside(False)
     if b > 0:
-        hit = hit | F.exists("edges", close)
-    on = j.filter(hit).select(key).distinct().withColumn("on_land", F.lit(True))
+        hit = hit | F.coalesce(F.exists("edges", close), F.lit(False))
+    on = (candidates(p, cell_cover(land_edges, cell_deg=cell_deg, buffer_deg=b)).filter(hit)
+          .select(key).distinct().withColumn("on_land", F.lit(True)))
     return points.join(on, key, "left").withColumn("on_land", F.coalesce("on_land", F.lit(False)))
 
 
