@@ -98,5 +98,10 @@ def test_no_polygons_and_repeated_points(spark):
     assert sc.points_in_zones(p, none).count() == 0
     box = spark.createDataFrame(ring([(70.0, 10.0), (80.0, 10.0), (80.0, 20.0), (70.0, 20.0)], 2), SCHEMA)
     assert [r.id for r in sc.points_in_zones(p, box).collect()] == [1]
+    lattice = [(i * 100 + j, 9.5 + i / 2, 69.5 + j / 2) for i in range(23) for j in range(23)]      # many on the outline and its lines
+    q = spark.createDataFrame(lattice, "id int, lat double, lon double")
+    for on, low, high in ((True, 0, 10), (False, 0.5, 9.5)):
+        want = {k for k, la, lo in lattice if low <= la - 10 <= high and low <= lo - 70 <= high}
+        assert {r.id for r in sc.points_in_zones(q, box, boundary=on).collect()} == want
     edge = spark.createDataFrame([(1, 10.0, 75.0), (2, 20.0, 80.0)], "id int, lat double, lon double")
     assert sc.points_in_zones(edge, box).count() == 2 and sc.points_in_zones(edge, box, boundary=False).count() == 0
