@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from corpus_fixtures import awkward, empty, prose, with_hot_groups
 
@@ -90,3 +91,22 @@ def test_empty_tables(spark):
     assert suffix_trees.removal_report(empty(spark)).count() == 0
     assert suffix_trees.remove_repeats(empty(spark)).count() == 0
     assert suffix_ranges.remove_repeats(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("letters", [1, 2, 5])
+def test_tree_nodes_are_the_equal_windows(letters):
+    """Nodes at the wanted depth against windows compared as tuples, in groups of random suffixes."""
+    rnd = np.random.default_rng(letters)
+    codes = repeats.mixed(rnd.integers(0, letters, 600).astype(np.uint64) + np.uint64(1))
+    start = rnd.integers(0, 600 - 8, 400)
+    group = rnd.integers(0, 7, 400)
+    rows, node = suffix_trees.deep_nodes(group, repeats.Hashes(codes), codes, start, 8)
+    want = defaultdict(set)
+    for i, (g, s) in enumerate(zip(group.tolist(), start.tolist(), strict=True)):
+        want[g, tuple(codes[s:s + 8].tolist())].add(i)
+    got = defaultdict(set)
+    for r, n in zip(rows.tolist(), node.tolist(), strict=True):
+        got[n].add(r)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    none = np.zeros(0, np.int64)
+    assert len(suffix_trees.deep_nodes(none, repeats.Hashes(codes), codes, none, 8)[0]) == 0

@@ -103,10 +103,11 @@ def cells_of(codes: np.ndarray, bounds: np.ndarray, window: int, k: int):
 
 
 class Coder:
-    """Codes of the symbols of texts. `make` runs in the task: (Arrow text column) -> (codes, offsets)."""
+    """Codes of the symbols of texts. `make` runs in the task: (Arrow text column) -> (codes, offsets). `classes` tells which
+    windows of one group are equal: (group, hashes, codes, starts, window) -> (rows, class of each); sorting where it is None."""
 
-    def __init__(self, window: int, k: int, token: int, make: Callable):
-        self.window, self.k, self.token, self.make = window, k, token, make
+    def __init__(self, window: int, k: int, token: int, make: Callable, classes: Callable | None = None):
+        self.window, self.k, self.token, self.make, self.classes = window, k, token, make, classes
 
 
 def _segments(offsets: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -327,7 +328,7 @@ def _solve(coder: Coder, keep_first: bool, rows: int = 4096):
             def token(rows_, d, at=at, h=h):
                 a = at[rows_] + d * tok
                 return h.spans(a, a + tok)
-            active, cls = equal_windows(label, token, W // tok)
+            active, cls = coder.classes(label, h, codes, at, W) if coder.classes else equal_windows(label, token, W // tok)
             if not len(active):
                 continue
             if keep_first:

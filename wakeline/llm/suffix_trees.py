@@ -1,12 +1,15 @@
-"""Word-level duplicates by anchor cells and sorting, in place of prefix-partitioned suffix trees.
+"""Word-level duplicates by suffix trees over groups of suffixes that share a prefix.
 
-The suffixes at content-chosen anchors are dealt out by their gram of K words (see `repeats`); an anchor with more distinct
-cells than fit in memory goes on by its whole window. Equal cells are settled by hash, border windows by a level-by-level
-sort, K words a level; no tree is built. In each group of equal windows of WINDOW words the occurrence with the smallest
-(doc_id, start) stays, all others are covered.
+The suffixes that are dealt out start at content-chosen anchors (see `repeats`); a group holds those with one gram of K words at
+the anchor and, where that gram has more distinct cells than fit in memory, goes on by its whole window. Copies that are equal
+as a whole are put together by hash before. In each group the tree is built from the root down: a node is a run of suffixes,
+its edge reaches as far as they agree, it branches by the word after that, and a branch of one suffix is a leaf. A node at
+depth WINDOW or more is a repeat: of its occurrences the one with the smallest (doc_id, start) stays, all others are covered.
 
 Null texts have no words; texts under WINDOW words lose nothing; a null doc_id is later than all others; rows of one id and
-text are one document (neither is earlier); rows of one id with different texts are ordered by a hash of the text.
+text are one document (neither is earlier); rows of one id with different texts are ordered by a hash of the text. Very long
+texts are cut into overlapping chunks; an empty table gives an empty one; columns other than doc_id and text are carried along
+in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import row_keys
-from wakeline.llm.repeats import Coder, covered, range_lists, repeated_ranges, with_ranges
+from wakeline.llm.common import group_bounds, row_keys
+from wakeline.llm.repeats import Coder, Hashes, covered, range_lists, repeated_ranges, with_ranges
 
 WINDOW, K = 20, 5
 MAX_WORDS = 300_000      # words whose hash a worker remembers
@@ -51,10 +54,46 @@ def _words(column):
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(offsets, np.int64)
 
 
+def deep_nodes(group: np.ndarray, h: Hashes, codes: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix trees of all groups at once, from the roots down. `start`: place of each suffix in `codes`, at least `depth` words
+    before its end. Returns the suffixes under nodes at `depth` words or more, and the number of their node; such nodes are not
+    grown further, since everything below them repeats."""
+    rows = np.argsort(group, kind="stable")
+    node, known = np.unique(group[rows], return_inverse=True)[1], np.zeros(len(rows), np.int64)
+    out_rows, out_nodes, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    key = np.zeros(len(rows), np.uint64)
+    while len(rows):
+        bounds = group_bounds(node, key)
+        size = np.diff(bounds)
+        inner = np.repeat(size > 1, size)                  # a branch of one suffix is a leaf
+        rows, known, size = rows[inner], known[inner], size[size > 1]
+        if not len(rows):
+            break
+        first = np.cumsum(size) - size
+        node = np.repeat(np.arange(len(size)), size)
+        a, b = start[rows], start[rows[first]][node]
+        low, high = known, np.full(len(rows), depth)
+        while (low < high).any():                          # words that a suffix shares with the first of its node
+            mid = (low + high + 1) // 2
+            same = h.spans(a, a + mid) == h.spans(b, b + mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        reach = np.minimum.reduceat(low, first)            # the node's depth: the edge ends where two of its suffixes part
+        deep = (reach >= depth)[node]
+        out_rows.append(rows[deep])
+        out_nodes.append(node[deep] + made)
+        made += len(size)
+        rows, node = rows[~deep], node[~deep]
+        key = codes[start[rows] + reach[node]]
+        order = np.lexsort((key, node))
+        rows, node, key = rows[order], node[order], key[order]
+        known = reach[node] + 1
+    return np.concatenate(out_rows), np.concatenate(out_nodes)
+
+
 def coder(window: int = WINDOW, k: int = K) -> Coder:
     if window % k:
         raise ValueError("a window is a whole number of grams")
-    return Coder(window, k, k, _words)
+    return Coder(window, k, k, _words, deep_nodes)
 
 
 def _cleaned(docs: DataFrame, window: int, k: int, how: dict) -> DataFrame:
