@@ -42,7 +42,7 @@ def field_axes(cells: DataFrame) -> DataFrame:
 
 def cubes(cells: DataFrame, axes: DataFrame) -> DataFrame:
     """One row per grid cube with its eight corner vectors, so a lookup is one equi-join and no aggregate."""
-    j = cells.join(axes.select("field_id", "ny", "nx", "nt"), "field_id")
+    j = cells.join(broadcast_if_small(axes.select("field_id", "ny", "nx", "nt")), "field_id")
 
     def owners(i, n):
         # cube c has corners c and min(c + 1, n - 1), c in 0 .. max(n - 2, 0)
