@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from wakeline.operators import records, scope
 from wakeline.operators.alerts import LIVE
 from wakeline.operators.slices import exact_quantiles
+from wakeline.plans import all_queries
+from wakeline.plans import fixtures as fx
 from wakeline.session import shared_folder
 from wakeline.streaming import live
 
@@ -63,6 +65,15 @@ def test_cooldown_does_not_depend_on_arrow_batches(spark):
     assert {x.alert_id: (x.status, x.dedup_of_id) for x in spark.read.parquet(sink).collect()} == want
 
 
+def test_sessions_hold_no_heartbeat_of_a_vessel_that_ends_early(spark, monkeypatch):
+    minute = 60_000_000
+    fixes = [(1, 0), (1, 10), (1, 700), (2, 0), (2, 5)]             # vessel 2 falls silent eleven hours before the feed ends
+    track = spark.createDataFrame([(m, fx.EPOCH_US + t * minute) for m, t in fixes], "mmsi long, t_us long")
+    monkeypatch.setattr(fx, "tracks", lambda spark, sf: track)
+    got = sorted(tuple(r) for r in all_queries()[0]["x2_track_sessions"](spark, "").collect())
+    assert got == [(1, 0, 2), (1, 700 * minute, 1), (2, 0, 2)]
+
+
 def test_late_rows_survive_a_restart(spark):
     base = f"{shared_folder(spark)}/l-{uuid.uuid4().hex}"
     ts = lambda minute: pd.Timestamp(minute * 60, unit="s").to_pydatetime()

@@ -184,9 +184,11 @@ def x1_stream_clean_dedup(spark, sf):
 
 
 def track_feed(spark, sf):
-    """Surviving fixes as a feed, with one closing heartbeat per vessel far in the future that pushes the watermark."""
+    """Surviving fixes as a feed, with one closing heartbeat per vessel far in the future that pushes the watermark. All come at one
+    instant: a heartbeat two hours before the last one would be closed itself, as a session of the vessel."""
     t = fx.tracks(spark, sf).select("mmsi", "t_us", F.timestamp_micros("t_us").alias("ts"))
-    end = t.groupBy("mmsi").agg((F.max("t_us") + F.lit(40 * 86_400_000_000)).alias("t_us"))
+    last = t.agg((F.max("t_us") + F.lit(40 * 86_400_000_000)).alias("t_us"))
+    end = t.select("mmsi").distinct().crossJoin(F.broadcast(last))      # one row
     return t.unionByName(end.withColumn("ts", F.timestamp_micros("t_us")))
 
 
