@@ -25,66 +25,96 @@ def track_sessions(pings: DataFrame, split: str = "360 minutes", watermark: str
             .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 
 
-def dark_vessels(pings: DataFrame, minutes: float = C.GAP_FLAG_MIN, watermark: str = "1 hour") -> DataFrame:
+SILENCE = np.dtype([("mmsi", "i8"), ("last", "i8"), ("told", "i8")])
+CELL = np.dtype([("cy", "f8"), ("cx", "f8"), ("t", "i8"), ("id", "i8")])
+
+
+def _held(state: GroupState, kind: np.dtype) -> list[tuple]:
+    """Rows that a block of keys keeps in its state."""
+    return np.frombuffer(state.get[0], kind).tolist() if state.exists else []
+
+
+def _hold(state: GroupState, rows: list[tuple], kind: np.dtype) -> None:
+    state.update((np.array(rows, kind).tobytes(),))
+
+
+def dark_vessels(pings: DataFrame, minutes: float = C.GAP_FLAG_MIN, watermark: str = "1 hour", block: int = 256) -> DataFrame:
     """Silences longer than `minutes`: a closed row (kind 'gap') when the vessel is heard again, an open row (kind 'dark')
-    when the event-time timer fires while it is still silent. State per vessel is one timestamp."""
+    when the event-time timer fires while it is still silent. State per vessel is one timestamp and whether its silence was
+    told; `block` neighbouring MMSI numbers share a state, so a micro-batch makes a Python call a block, not a vessel."""
     limit = int(minutes * 60_000_000)
+    nobody = -(1 << 62)
 
     def step(key, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], last, last + limit, "dark"))
-            state.update((last,))
-        else:
-            parts = [b["t_us"].to_numpy() for b in batches]
-            for t in sorted(set(int(x) for p in parts for x in p)):
-                if last is not None and t - last > limit:
-                    out.append((key[0], last, t, "gap"))
-                last = t if last is None or t > last else last
-            state.update((last,))
-            due = (last + limit) // 1000 + 1
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["mmsi", "start_us", "end_us", "kind"])
-    p = pings.withWatermark("ts", watermark).select("mmsi", "ts", F.unix_micros("ts").alias("t_us"))
-    return p.groupBy("mmsi").applyInPandasWithState(
-        step, "mmsi long, start_us long, end_us long, kind string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def alert_cooldown(alerts: DataFrame, minutes: int = C.COOLDOWN_MIN, grid: float = C.DEDUP_GRID_DEG, watermark: str = "1 hour") -> DataFrame:
+        held = {m: (t, told) for m, t, told in _held(state, SILENCE)}
+        out, heard = [], set()
+        parts = [] if state.hasTimedOut else [(b["_m"].to_numpy(), b["t_us"].to_numpy()) for b in batches]
+        if parts:
+            ids, times = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((times, ids))
+            for m, t in zip(ids[order].tolist(), times[order].tolist()):
+                last = held[m][0] if m in held else t
+                if t - last > limit:
+                    out.append((m, last, t, "gap"))
+                held[m] = (max(last, t), 0)
+                heard.add(m)
+        now, due = state.getCurrentWatermarkMs(), lambda t: (t + limit) // 1000 + 1
+        for m, (t, told) in held.items():
+            if not told and m not in heard and due(t) < now:
+                out.append((m, t, t + limit, "dark"))
+                held[m] = (t, 1)
+        _hold(state, [(m, *v) for m, v in held.items()], SILENCE)
+        waiting = [due(t) for t, told in held.values() if not told]
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting), now + 1))
+        d = pd.DataFrame(out, columns=["mmsi", "start_us", "end_us", "kind"])
+        d["mmsi"] = pd.array([None if m == nobody else m for m in d["mmsi"]], dtype="Int64")
+        yield d
+    p = pings.withWatermark("ts", watermark).select("ts", F.coalesce("mmsi", F.lit(nobody)).cast("long").alias("_m"), F.unix_micros("ts").alias("t_us"))
+    return p.withColumn("_block", F.floor(F.col("_m") / block)).groupBy("_block").applyInPandasWithState(
+        step, "mmsi long, start_us long, end_us long, kind string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def alert_cooldown(alerts: DataFrame, minutes: int = C.COOLDOWN_MIN, grid: float = C.DEDUP_GRID_DEG, watermark: str = "1 hour",
+                   tile: int = 32) -> DataFrame:
     """Suppression per grid cell: an alert within the cooldown after the cell's last live one is suppressed and does not
     extend the cooldown. Alerts of a micro-batch are taken in order of time. A late alert is not suppressed by a later one and does not set the cooldown back. The state of a
-    cell is one alert and is dropped when the watermark passes its cooldown. Neighbouring cells are the batch operator's."""
+    cell is one alert and is dropped when the watermark passes its cooldown; `tile` x `tile` cells share a state, so a micro-batch
+    makes a Python call a tile, not a cell. Neighbouring cells are the batch operator's."""
     us = minutes * 60_000_000
 
     def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_t, last_id = state.get if state.exists else (None, None)
-        parts = [[b[c].to_numpy() for c in ("t_us", "alert_id", "force", "outcome")] for b in batches]
-        if parts:               # the cell's alerts of the micro-batch in order of time, however Arrow has cut them
-            times, ids, force, outcome = (np.concatenate(c) for c in zip(*parts))
+        held = {(cy, cx): (t, i) for cy, cx, t, i in _held(state, CELL)}
+        parts = [] if state.hasTimedOut else [[b[c].to_numpy() for c in ("t_us", "alert_id", "force", "outcome", "_cy", "_cx")] for b in batches]
+        if parts:               # the tile's alerts of the micro-batch in order of time, however Arrow has cut them
+            times, ids, *rest = (np.concatenate(c) for c in zip(*parts))
             order = np.lexsort((ids, times))
-            times, ids, force, outcome = times[order], ids[order], force[order], outcome[order]
-            dup_of, status = [None] * len(ids), list(outcome)
-            for i in range(len(ids)):
+            times, ids, force, status, cy, cx = (c[order].tolist() for c in (times, ids, *rest))
+            dup_of = [None] * len(ids)
+            for i, cell in enumerate(zip(cy, cx)):
+                last_t, last_id = held.get(cell, (None, None))
                 if last_t is not None and 0 <= times[i] - last_t <= us and not force[i]:
                     dup_of[i], status[i] = last_id, "SUPPRESSED"
-                elif outcome[i] in LIVE and (last_t is None or times[i] >= last_t):
-                    last_t, last_id = int(times[i]), int(ids[i])
+                elif status[i] in LIVE and (last_t is None or times[i] >= last_t):
+                    held[cell] = (times[i], ids[i])
             for at in range(0, len(ids), 10_000):
                 d = pd.DataFrame({"alert_id": ids[at:at + 10_000], "status": status[at:at + 10_000]})
                 d["dedup_of_id"] = pd.array(dup_of[at:at + 10_000], dtype="Int64")
                 yield d
-        if last_t is not None:
-            state.update((last_t, last_id))
-            state.setTimeoutTimestamp(max((last_t + us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        now, end = state.getCurrentWatermarkMs(), lambda t: (t + us) // 1000 + 1
+        held = {cell: v for cell, v in held.items() if end(v[0]) >= now}
+        if held:
+            _hold(state, [(*cell, *v) for cell, v in held.items()], CELL)
+            state.setTimeoutTimestamp(max(max(end(t) for t, _ in held.values()), now + 1))
+        elif state.exists:
+            state.remove()
+    # alerts without a place, or with none that is a number, have a cell of their own beyond the grid
+    cell = lambda c: F.coalesce(F.nanvl(F.rint(F.col(c) / grid), F.lit(-2e300)), F.lit(-1e300))
     a = alerts.withWatermark("ts", watermark).select("alert_id", "ts", F.unix_micros("ts").alias("t_us"), "force", "outcome",
-                                                     F.rint(F.col("lat") / grid).alias("_cy"), F.rint(F.col("lon") / grid).alias("_cx"))
-    return a.groupBy("_cy", "_cx").applyInPandasWithState(
-        step, "alert_id long, status string, dedup_of_id long", "t long, id long", "append", GroupStateTimeout.EventTimeTimeout)
+                                                     cell("lat").alias("_cy"), cell("lon").alias("_cx"))
+    tiles = {"_ty": F.floor(F.col("_cy") / tile), "_tx": F.floor(F.col("_cx") / tile)}
+    return a.withColumns(tiles).groupBy(*tiles).applyInPandasWithState(
+        step, "alert_id long, status string, dedup_of_id long", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bucket_counts(alerts: DataFrame, size: str = "60 minutes", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
