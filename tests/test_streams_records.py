@@ -74,6 +74,38 @@ def test_sessions_hold_no_heartbeat_of_a_vessel_that_ends_early(spark, monkeypat
     assert got == [(1, 0, 2), (1, 700 * minute, 1), (2, 0, 2)]
 
 
+def test_dark_vessels_share_a_state(spark):
+    import random
+    r, limit = random.Random(7), 20
+    fixes = sorted({(m, r.randrange(0, 600)) for m in (1, 2, 3, 300, 301) for _ in range(25)} | {(9, 3)})
+    ts = lambda t: pd.Timestamp((1_000_000 + t) * 60_000, unit="ms").to_pydatetime()
+    parts = [[(m, ts(t)) for m, t in fixes if lo <= t < lo + 150] for lo in range(0, 600, 150)] + [[(3, ts(700))], [(3, ts(800))]]
+    want = set()
+    for m in {m for m, _ in fixes}:
+        own = [t for k, t in fixes if k == m] + ([700, 800] if m == 3 else [])
+        want |= {(m, a, b, "gap") for a, b in zip(own, own[1:]) if b - a > limit}
+        want.add((m, own[-1], own[-1] + limit, "dark")) if m != 3 else None
+    stream = replay(spark, parts, "mmsi long, ts timestamp")
+    sink = f"{shared_folder(spark)}/d-{uuid.uuid4().hex}"
+    run(live.dark_vessels(stream, limit, watermark="1 minute").writeStream.format("parquet").option("path", sink), spark)
+    got = [(x.mmsi, x.start_us // 60_000_000 - 1_000_000, x.end_us // 60_000_000 - 1_000_000, x.kind) for x in spark.read.parquet(sink).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert {g for g in got if g[3] == "gap"} == {w for w in want if w[3] == "gap"}
+    assert all((m, a) in {(k, t) for k, t in fixes} | {(3, 700)} for m, a, _, kind in got if kind == "dark")
+
+
+def test_replay_takes_a_range_of_several_files_at_once(spark):
+    all_queries()
+    from wakeline.plans import q_models
+    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("t"), "id")     # the first quartile is one value
+    stream = q_models.replay(spark, df, "t", rows=80)
+    seen = []
+    run(stream.writeStream.foreachBatch(lambda b, e: seen.append((b.select(F.input_file_name()).distinct().count(), b.count(), b.agg(F.min("t"), F.max("t")).first()))), spark)
+    assert sum(n for _, n, _ in seen) == 1000 and max(f for f, *_ in seen) == 4
+    full = [tuple(x) for *_, x in seen if x[0] is not None]
+    assert all(a[1] < b[0] for a, b in zip(full, full[1:]))
+
+
 def test_late_rows_survive_a_restart(spark):
     base = f"{shared_folder(spark)}/l-{uuid.uuid4().hex}"
     ts = lambda minute: pd.Timestamp(minute * 60, unit="s").to_pydatetime()

@@ -151,17 +151,22 @@ def m5_stratified_split(spark, sf):
     return md.stratified_split(scored(spark, sf), "truth", "h").select("doc_id", "held_out")
 
 
-# -- streams: a stored feed is replayed to completion, one time-ordered file per micro-batch --------------------------
-def replay(spark, df, order: str, files: int = 4):
-    """Write a feed as time-ordered files (cut at its quartiles) and open it as a stream."""
+# -- streams: a stored feed is replayed to completion, one time-ordered range of it per micro-batch --------------------
+def replay(spark, df, order: str, files: int = 4, rows: int = 250_000):
+    """Write a feed as time-ordered ranges (cut at its quartiles) and open it as a stream. A range is as many files as a quarter of
+    the feed needs at `rows` rows a file, written side by side; a range with fewer is filled up with empty files, so that every
+    trigger takes exactly one range."""
     path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     cuts = df.approxQuantile(order, [k / files for k in range(1, files)], 0.001)
+    n = -(-df.count() // (files * rows)) or 1
     edges = [None, *cuts, None]
-    for lo, hi in zip(edges, edges[1:]):
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
         part = df if lo is None else df.filter(F.col(order) > lo)
         part = part if hi is None else part.filter(F.coalesce(F.col(order) <= hi, F.lit(lo is None)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        (part.repartition(n) if n > 1 else part.coalesce(1)).write.parquet(f"{path}/{i}")
+        for _ in range(n - len(spark.read.schema(df.schema).parquet(f"{path}/{i}").inputFiles())):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).option("recursiveFileLookup", True).parquet(path)
 
 
 def drain(stream, mode: str = "append"):
