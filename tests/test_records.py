@@ -111,6 +111,22 @@ def test_near_suppression_of_a_regular_chain_takes_few_rounds(spark, monkeypatch
     assert len(rounds) <= 11                                                    # 200 cooldowns are 8 doublings
 
 
+@pytest.mark.parametrize("tile,span", [(1, 1), (4, 2)])
+def test_late_rounds_open_only_what_is_near_a_change(spark, monkeypatch, tile, span):
+    """A row of alerts 0.04 degrees and two hours apart is wrong from block to block; a crowd far from it settles at once."""
+    rows = [(k, k * 7_200_000_000, 10.0 + 0.04 * (k % 20), 70.0, False, "SENT") for k in range(60)]
+    rows += [(1000 + k, (k % 7) * 600_000_000, 40.0 + k, 20.0, False, "SENT") for k in range(40)]
+    sizes = []
+    fold = al._fold
+    monkeypatch.setattr(al, "_fold", lambda part, *a: sizes.append(part.count()) or fold(part, *a))
+    assert near_verdicts(spark, rows, tile=tile, span=span, few=1) == walked(rows)
+    assert sizes[0] == 100 and len(sizes) > 2 and sizes[-1] <= 60
+    rnd = random.Random(5)
+    mixed = [(i, rnd.randrange(0, 60 * 3600, 600) * 1_000_000, 10 + rnd.randrange(-40, 40) * 0.03, rnd.randrange(-4, 4) * 0.03, rnd.random() < 0.05,
+              rnd.choice(["SENT", "SENT", "FAILED"])) for i in rnd.sample(range(5000), 800)]
+    assert near_verdicts(spark, mixed, tile=tile, span=span, few=1) == walked(mixed)
+
+
 def test_near_suppression_small_tables(spark):
     assert near_verdicts(spark, []) == {}
     hot = [(k, 1000 * k, 10.0, 70.0, k % 3 == 0, "SENT") for k in range(30_000)]    # a hot cell, a third of it forced
