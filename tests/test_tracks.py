@@ -101,3 +101,15 @@ def test_decimation_matches_linspace(spark):
         f = fixes(spark, [(1, k * 0.1, 0, k) for k in range(n)])
         got = sorted(int(r.lon) for r in tr.decimate(f, ["mmsi"], ["t_us"], "slice", 80).collect())
         assert got == sorted(set(np.linspace(0, n - 1, min(80, n)).astype(int).tolist())), n
+
+
+def test_unreadable_times_are_not_parsed(spark):
+    """A failed attempt costs many times a match, so every pattern is tried only on texts of its shape; readings stay the same."""
+    odd = ["2024/01/02 03:04:05", "02-01-2024 03:04:05", "+12024-01-02 03:04:05", "2024-01-02t03:04:05", "2024/02/30 03:04:05", "at 03:04",
+           "1704164645", "2024-1-2 03:04:05", "", None]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, t string").withColumn("ts", cl.parse_ts("t"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") > len(cl.TIME_PATTERNS)
+    plain = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(p)) for p in cl.TIME_PATTERNS])
+    assert d.filter(~F.col("ts").eqNullSafe(plain)).isEmpty()
+    assert d.filter("ts is not null").count() == 4

@@ -16,6 +16,12 @@ TIME_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:
 REJECTS = ["no_mmsi", "time", "coords", "null_island", "duplicate"]
 
 
+def _shape(pattern: str) -> str:
+    """What every text that the pattern reads looks like. Only such texts are parsed, as a failed attempt costs many times a match."""
+    return "(?i)^" + pattern.replace("'", "").replace("yyyy", r"[+-]?\d{4,}").replace("MM", r"\d{2}").replace("dd", r"\d{2}").replace(
+        "HH", r"\d{2}").replace("mm", r"\d{2}").replace("ss", r"\d{2}") + "$"
+
+
 def parse_ts(col, dtype: str = "string") -> Column:
     """Instant from text, a number (epoch s, or ms above 1e11) or a timestamp; unreadable -> null."""
     c = _c(col)
@@ -27,8 +33,8 @@ def parse_ts(col, dtype: str = "string") -> Column:
         return F.when(F.abs(s) < 2.5e11, F.timestamp_micros(F.round(s * 1e6).cast("bigint")))
     t = F.trim(c)
     iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"),
-                 F.try_to_timestamp(F.regexp_replace(t, ",", ".")))
-    return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(p)) for p in TIME_PATTERNS])
+                 F.try_to_timestamp(F.translate(t, ",", ".")))
+    return F.coalesce(iso, *[F.when(t.rlike(_shape(p)), F.try_to_timestamp(t, F.lit(p))) for p in TIME_PATTERNS])
 
 
 def classify(ais: DataFrame, drop_null_island: bool = True) -> DataFrame:
