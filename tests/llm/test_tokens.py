@@ -66,6 +66,37 @@ def test_full_piece_memory_changes_nothing(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_pieces_go_to_the_library_many_at_once():
+    enc, tok, r = token_files._Pieces(JSON, PATTERN), Tokenizer.from_file(JSON), random.Random(8)
+
+    class Counting:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += len(texts)
+            return tok.encode_batch_fast(texts, **kw)
+    enc.tok = Counting()
+    letters = "abcdefghijklmnopqrstuvwxyzéüñÄ"
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(3, 12))) for _ in range(50)) for _ in range(60)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(enc.known) > 2500 and enc.tok.texts < 100
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab '’s<|>endoftext\n\t\r\x0b\xa0\x85é7²½.-_ß", max_size=30), max_size=6))
+def test_joined_pieces_equal_the_library(texts):
+    enc, tok = token_files._pieces(JSON, PATTERN), Tokenizer.from_file(JSON)
+    enc.known.clear()
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_that_join_to_a_special_token():
+    enc, tok = token_files._Pieces(JSON, PATTERN), Tokenizer.from_file(JSON)
+    pieces = ["<|", "endoftext", "|>", " <|", " endoftext", "s", "'s", "\n", "  ", " '", "'"]
+    enc.learn(pieces)
+    assert {p: np.frombuffer(enc.known[p], "<u4").tolist() for p in pieces} == {p: tok.encode(p, add_special_tokens=False).ids for p in pieces}
+
+
 @pytest.fixture(scope="module")
 def library():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe_transducer.load_ranks(RANKS), special_tokens={})

@@ -174,19 +174,53 @@ class _Pieces:
         _, self.unusual, self.find = pieces_finder(pattern)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or "(?!)").search
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(self.tok.get_vocab().values()) + 1, np.int64)      # bytes of a token: a letter stands for a byte
+        self.sizes[np.fromiter(vocab.values(), np.int64, len(vocab))] = np.fromiter(map(len, vocab), np.int64, len(vocab))
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _rows(self, pieces: list[str]) -> tuple[str, list[str]] | None:
+        """The pieces as one text that is cut into them again, line feeds before those that could grow together; None if it is not."""
+        row = [x for p in pieces for x in (("\n", p) if p[0] != " " else (p,))]
+        text = "".join(row)
+        return (text, row) if self.find(text) == row and not self.special(text) else None
+
+    def learn(self, pieces: list[str], run: int = 256, batch: int = 2048) -> None:
+        """Remember the ids of pieces. The library takes many as one text (a call a piece costs twice the time); tokens are
+        dealt out by their bytes, and a run whose tokens do not end where its pieces end is encoded piece by piece."""
+        alone = [p for p in pieces if p.isspace()]      # white space before a piece could be cut otherwise
+        others = [p for p in pieces if not p.isspace()]
+        runs = [others[at:at + run] for at in range(0, len(others), run)]
+        for at in range(0, len(runs), max(batch // run, 1)):
+            made = [(r, self._rows(r)) for r in runs[at:at + max(batch // run, 1)]]
+            alone += [p for r, m in made if m is None for p in r]
+            made = [(r, *m) for r, m in made if m is not None]
+            found = self.tok.encode_batch_fast([text for _, text, _ in made], add_special_tokens=False)
+            for (r, text, row), e in zip(made, found, strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum(self.sizes[ids])
+                cuts = np.cumsum([len(x.encode()) for x in row])
+                to = np.searchsorted(ends, cuts)
+                if not len(ends) or ends[-1] != cuts[-1] or (ends[to] != cuts).any():
+                    alone += r
+                    continue
+                raw, last = ids.tobytes(), 0
+                for x, z in zip(row, (4 * (to + 1)).tolist(), strict=True):
+                    self.known[x] = raw[last:z]
+                    last = z
+        for at in range(0, len(alone), batch):
+            part = alone[at:at + batch]
+            self.known.update(zip(part, self._library(part), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [None if self.unusual(t) or self.special(t) else self.find(t) for t in texts]
         known = self.known
         fresh = list(set().union(*(c for c in cut if c is not None)).difference(known))
-        for at in range(0, len(fresh), 2048):
-            part = fresh[at:at + 2048]
-            known.update(zip(part, self._library(part), strict=True))
+        self.learn(fresh)
         out = [self._library([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
         if len(known) > MAX_PIECES:     # the memory is full: these pieces served these texts only
             for p in fresh:
