@@ -113,3 +113,14 @@ def test_unreadable_times_are_not_parsed(spark):
     plain = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(p)) for p in cl.TIME_PATTERNS])
     assert d.filter(~F.col("ts").eqNullSafe(plain)).isEmpty()
     assert d.filter("ts is not null").count() == 4
+
+
+def test_length_filter_leaves_fixes_where_they_are(spark):
+    """Fixes are not shuffled by vessel while the vessels are few; beyond the bound the rows are the same."""
+    f = fixes(spark, [(m, k * 0.1, 15.0, 73.0) for m in range(1, 9) for k in range(m)])
+    few, many = tr.min_points(f, 4), tr.min_points(f, 4, most=2)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    want = sorted((m, k) for m in range(4, 9) for k in range(m))
+    for d in (few, many):
+        assert sorted((r.mmsi, round(r.t_h * 10)) for r in d.collect()) == want
