@@ -142,3 +142,14 @@ def test_box_range_bounds_the_distance():
         d = haversine_m((a[:, 0] + u * (a[:, 1] - a[:, 0]))[:, None], (x[:, 0] + v * (x[:, 1] - x[:, 0]))[:, None],
                         (b[:, 0] + w * (b[:, 1] - b[:, 0]))[None], (y[:, 0] + z * (y[:, 1] - y[:, 0]))[None])
         assert (d >= near - 1e-6).all() and (d <= far + 1e-6).all()
+
+
+def test_steps_of_few_particles_skip_the_bounds(spark, monkeypatch):
+    rows = cloud_rows(3, 2, [400, 60])
+    df = spark.createDataFrame(rows, "incident_id long, particle_id long, t_h double, lat double, lon double, beached boolean")
+    assert "InPandas" not in ev.ceiling_candidates(df)._jdf.queryExecution().executedPlan().toString()
+    whole, want = ev.ceiling_candidates, brute_ceiling(rows)
+    for few in (0, 100):                                    # all steps by bounds; some of them
+        monkeypatch.setattr(ev, "ceiling_candidates", lambda d, few=few: whole(d, few=few))
+        got = {(r.incident_id, r.t_h): r.ceiling for r in ev.cloud_ceiling(df).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
